@@ -16,7 +16,9 @@ from chartloom.llm.common import SPACES, cut, let, words_of
 
 RULES = ("symbols", "capitals", "exclaims", "lines", "repeats", "stutter", "endings")
 #: A rule's vote against is taken to be rarer on good documents by this factor at least.
-EVIDENCE = 50
+EVIDENCE = 200
+#: A vote for a document says that one kind of junk is absent: it is taken to be more frequent on good ones by this factor at most.
+COMFORT = 1.3
 
 
 def _repeated(words: Column) -> Column:
@@ -103,7 +105,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prio
     ``patterns``: (votes, documents), at most 3 ** rules of them whatever the corpus, so
     they fit the driver. Starts from the patterns without a vote against as good. Every
     rate has one pseudo-count; a vote against is rarer on good than on bad
-    documents, by ``EVIDENCE`` at least, which keeps the classes from changing places.
+    documents, by ``EVIDENCE`` at least, and one for
+    it is worth ``COMFORT`` at most, which keeps the classes from changing places.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
     good = {v: (0.95 if -1 not in v and 1 in v else prior if -1 not in v else 0.02) for v, _ in patterns}
@@ -121,6 +124,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prio
                 whole = sum(mass.values())
                 of[kind] = {x: m / whole for x, m in mass.items()}
             of[1][-1] = min(of[1][-1], of[0][-1] / EVIDENCE)
+            of[0][1] = max(of[0][1], of[1][1] / COMFORT)
             rates.append(of)
         before = good
         good = {}
