@@ -5,27 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import mixing, rules, syncmers
+from chartloom.llm import bpe, classifier, mixing, pii, rules, syncmers, unigram
 from chartloom.llm.common import documents
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies, on the driver and the executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(documents(spark, sf_dir))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "least_score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality")
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = classifier.classify(docs.select("doc_id", "text"), classifier.fit(docs))
+    return out.select("doc_id", F.round("posterior", 6).alias("posterior"), F.round("score", 4).alias("score"), "kept")
+
+
+OPERATORS = (
+    op2_document_fingerprints, op4_personal_data, op5_mix_sources, op7_bpe_coding, op8_quality_rules, op9_token_counts, op10_quality_classifier,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_document_fingerprints, op5_mix_sources, op8_quality_rules)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

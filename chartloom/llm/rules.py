@@ -94,7 +94,7 @@ def votes() -> list[Column]:
         vote(per("n_exclaims", "n_words"), 0.05, 0.25, some),
         vote(per("n_dup_lines", "n_lines"), 0.1, 0.4, F.col("n_lines") >= 4),
         vote(per("n_repeat_words", "n_words"), 0.05, 0.3, F.col("n_words") >= 10),
-        vote(per("n_stutter", "n_words"), 0.04, 0.12, F.col("n_words") >= 5),
+        vote(F.greatest(F.col("n_stutter") - 1, F.lit(0)) / F.greatest(F.col("n_words"), F.lit(1)), 0.04, 0.12, F.col("n_words") >= 5),
         vote(1 - per("n_ended", "n_lines"), 0.4, 0.9, F.col("n_lines") >= 3),
     ]
 
