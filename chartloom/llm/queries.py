@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bpe, classifier, mixing, pii, rules, syncmers, unigram
+from chartloom.llm import bpe, classifier, jaccard, mixing, pii, rules, syncmers, unigram
 from chartloom.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), k=4, num=85, den=100)
+
+
 def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -51,7 +55,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
-    op2_document_fingerprints, op4_personal_data, op5_mix_sources, op7_bpe_coding, op8_quality_rules, op9_token_counts, op10_quality_classifier,
+    op2_document_fingerprints, op4_personal_data, op5_mix_sources, op6_ngram_jaccard_join, op7_bpe_coding, op8_quality_rules, op9_token_counts, op10_quality_classifier,
 )
 
 
