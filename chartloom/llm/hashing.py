@@ -105,8 +105,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` values the place of its least one (the first of equals)."""
     n = len(values) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    at, size = np.arange(len(values), dtype=np.int64), 1
+        return np.zeros(0, np.int32)
+    at, size = np.arange(len(values), dtype=np.int32), 1
     while size * 2 <= width:
         a, b = at[:-size], at[size:]
         at = np.where(values[b] < values[a], b, a)
@@ -146,3 +146,41 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]
                 rows, held = [], 0
     if rows:
         yield rows
+
+
+def sorted_rows(rows: list[tuple]) -> tuple[np.ndarray, list[bytes]]:
+    """(ids, texts) of a block in the order of ids; rows equal in both count once."""
+    distinct = sorted({(i, raw) for i, raw in rows}) if len({r[0] for r in rows}) < len(rows) else sorted(rows)
+    return np.array([r[0] for r in distinct], np.int64), [r[1] for r in distinct]
+
+
+def pack(parts: list[tuple[str, np.ndarray]]) -> bytes:
+    """Arrays one after the other, each after its size in bytes and its type."""
+    out = []
+    for kind, a in parts:
+        raw = a.astype(kind).tobytes()
+        out += [len(raw).to_bytes(8, "little"), kind.encode().ljust(4), raw]
+    return b"".join(out)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        n, kind = int.from_bytes(blob[at : at + 8], "little"), np.dtype(blob[at + 8 : at + 12].decode().strip())
+        out.append(np.frombuffer(blob, kind, n // kind.itemsize, at + 12))
+        at += 12 + n
+    return out
+
+
+def split48(x: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """48 bits of numbers as two arrays to ``pack``."""
+    return [("<u4", x & U(0xFFFFFFFF)), ("<u2", (x >> U(32)) & U(0xFFFF))]
+
+
+def join48(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(U) | high.astype(U) << U(32)
+
+
+def fitting(x: np.ndarray) -> str:
+    """The smaller type that holds all of ``x``."""
+    return "<u2" if not len(x) or int(x.max()) < 1 << 16 else "<u4"

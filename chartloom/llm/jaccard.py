@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from chartloom.llm.common import NULL_ID, cut, key_of, keyed_partitions, partitions
 from chartloom.llm.graph import components
-from chartloom.llm.hashing import Texts, U, between, blocks, inside, mix, prefix
+from chartloom.llm.hashing import Texts, U, between, blocks, fitting, inside, join48, mix, pack, prefix, split48, unpack
 
 #: Bytes of text handled at once; members up to which a group is compared pair by pair.
 BLOCK, SMALL = 6_000_000, 48
@@ -92,24 +92,6 @@ def signatures(values: np.ndarray, of: np.ndarray, sizes: np.ndarray, num: int,
         yield mix(sums[own] + mix(number ^ salt[owner[own]], 23)), owner[own], need[owner[own]]
 
 
-def _pack(parts: list[tuple[str, np.ndarray]]) -> bytes:
-    """Arrays one after the other, each after its size in bytes and its type."""
-    out = []
-    for kind, a in parts:
-        raw = a.astype(kind).tobytes()
-        out += [len(raw).to_bytes(8, "little"), kind.encode().ljust(4), raw]
-    return b"".join(out)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(blob):
-        n, kind = int.from_bytes(blob[at : at + 8], "little"), np.dtype(blob[at + 8 : at + 12].decode().strip())
-        out.append(np.frombuffer(blob, kind, n // kind.itemsize, at + 12))
-        at += 12 + n
-    return out
-
-
 def _signed(k: int, num: int, den: int, keys: list[int]):
     """Blocks of (id, text) to (key, blob): documents and signatures, dealt to partitions."""
     n_parts = len(keys)
@@ -139,10 +121,9 @@ def _signed(k: int, num: int, den: int, keys: list[int]):
                     continue
                 used, local = np.unique(owner[mine], return_inverse=True)
                 used = first[used]
-                small = (sig[mine] // U(n_parts)) & U((1 << 48) - 1)
-                out.append(_pack([
+                out.append(pack([
                     ("<i8", ids[docs]), ("<i8", sets.sizes[docs]), ("<u8", sets.names[docs].ravel()),
-                    ("<u8", sets.names[used].ravel()), ("<u4", small & U(0xFFFFFFFF)), ("<u2", small >> U(32)), ("<u2" if len(used) < 65536 else "<u4", local), ("u1", need[mine]),
+                    ("<u8", sets.names[used].ravel()), *split48(sig[mine] // U(n_parts)), (fitting(local), local), ("u1", need[mine]),
                 ]))
                 out[-1] = (keys[p], out[-1])
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["key", "blob"])
@@ -175,7 +156,7 @@ def _met(small: int):
         held: list[list[np.ndarray]] = []
         for batch in batches:
             for blob in batch.column(1):
-                ids, sizes, names, *rest = _unpack(blob.as_py())
+                ids, sizes, names, *rest = unpack(blob.as_py())
                 if len(ids):
                     yield _rows(0, len(ids), id=ids, n=sizes, a=names.reshape(-1, 2))
                 held.append(rest)
@@ -183,7 +164,7 @@ def _met(small: int):
             return
         table = np.concatenate([h[0].reshape(-1, 2) for h in held])
         base = np.concatenate([[0], np.cumsum([len(h[0]) // 2 for h in held])])
-        sig = np.concatenate([h[1].astype(U) | h[2].astype(U) << U(32) for h in held])
+        sig = np.concatenate([join48(h[1], h[2]) for h in held])
         node = np.concatenate([h[3].astype(np.int64) + base[i] for i, h in enumerate(held)])
         need = np.concatenate([h[4] for h in held])
         del held

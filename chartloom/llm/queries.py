@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bpe, classifier, jaccard, mixing, pii, rules, syncmers, unigram
+from chartloom.llm import bpe, classifier, jaccard, mixing, pii, rlz, rules, syncmers, unigram
 from chartloom.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.digests(documents(spark, sf_dir))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, sf_dir))
 
@@ -55,7 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
-    op2_document_fingerprints, op4_personal_data, op5_mix_sources, op6_ngram_jaccard_join, op7_bpe_coding, op8_quality_rules, op9_token_counts, op10_quality_classifier,
+    op1_repeated_passages, op2_document_fingerprints, op4_personal_data, op5_mix_sources, op6_ngram_jaccard_join, op7_bpe_coding, op8_quality_rules, op9_token_counts, op10_quality_classifier,
 )
 
 
