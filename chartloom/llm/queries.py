@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bpe, classifier, jaccard, mixing, pii, rlz, rules, syncmers, unigram
+from chartloom.llm import bpe, classifier, jaccard, mixing, pii, rlz, rules, suffixes, syncmers, unigram
 from chartloom.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, sf_dir))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.scan(documents(spark, sf_dir))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "least_score")
@@ -59,7 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (
-    op1_repeated_passages, op2_document_fingerprints, op4_personal_data, op5_mix_sources, op6_ngram_jaccard_join, op7_bpe_coding, op8_quality_rules, op9_token_counts, op10_quality_classifier,
+    op1_repeated_passages, op2_document_fingerprints, op3_repeated_bytes, op4_personal_data, op5_mix_sources, op6_ngram_jaccard_join, op7_bpe_coding, op8_quality_rules, op9_token_counts, op10_quality_classifier,
 )
 
 
