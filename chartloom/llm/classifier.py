@@ -128,23 +128,34 @@ def fit(docs: DataFrame, fitted: int = FITTED) -> Model:
     return Model(posterior, *fit_scorer(x, y))
 
 
+def _judged(texts: list[str | None], model: Model, threshold: float) -> tuple[list[tuple[float, float]], list[bool]]:
+    judged = [model.judge(t or "") for t in texts]
+    return judged, [s >= threshold and bool(t) and _SAID.search(t) is not None for t, (_, s) in zip(texts, judged, strict=True)]
+
+
 def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with posterior, score and kept.
+    """doc_id, posterior (of the labellers), score (of the scorer), kept for each row.
 
-    Null and empty texts are judged by the scorer on no matter at all: they are not kept.
-    Repeated rows and ties get equal scores. Added columns replace columns of their names.
+    Null and empty texts and those of white space are not kept. Repeated rows and ties get
+    equal scores. Columns beyond doc_id and text are ignored. Empty tables give no rows.
     """
-    added = ["posterior", "score", "kept"]
-    docs = docs.drop(*added)
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(names.index("text"))]
-            judged = [model.judge(t or "") for t in texts]
-            kept = [s >= threshold and bool(t) and _SAID.search(t) is not None for t, (_, s) in zip(texts, judged, strict=True)]
+            judged, kept = _judged(batch.column(1).to_pylist(), model, threshold)
             columns = [pa.array([p for p, _ in judged], pa.float64()), pa.array([s for _, s in judged], pa.float64()), pa.array(kept, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *added])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "posterior", "score", "kept"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, posterior double, score double, kept boolean")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_judged(batch.column(place).to_pylist(), model, threshold)[1], pa.bool_()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, posterior double, score double, kept boolean")
+    return docs.mapInArrow(run, docs.schema)

@@ -315,3 +315,15 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int
     out = doc.join(named, "a", "left").withColumn("component", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component of links the least doc_id stays.
+
+    Documents without words link with nothing and stay. Of rows that share a doc_id one
+    stays, that with the least hash of its text.
+    """
+    found = join(docs, k, num, den).where("component_id <=> doc_id").select(key_of(F.col("doc_id")).alias("__key")).distinct()
+    rows = docs.withColumn("__key", key_of(F.col("doc_id"))).join(cut(found), "__key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))
+    return rows.withColumn("__first", first).where("__first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -77,12 +77,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     A hash of the whole row carries the copies back to it; rows equal in every column
     share the copies that they were given together.
     """
-    tagged = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    thin = tagged.select(F.struct("doc_id", "_row").alias("doc_id"), "source", "text")
-    taken = mix(thin, weights, cap, seed).groupBy(F.col("doc_id._row").alias("_row"))
-    taken = taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_equal")).where("_copies > 0")
-    tagged = tagged.withColumn("_nr", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    out = tagged.join(taken, "_row")
-    own = F.floor(F.col("_copies") * F.col("_nr") / F.col("_equal")) - F.floor(F.col("_copies") * (F.col("_nr") - 1) / F.col("_equal"))
-    out = out.withColumn("_own", own.cast("int")).where("_own > 0")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_own")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    tagged = docs.withColumn("__mix_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    thin = tagged.select(F.struct("doc_id", "__mix_row").alias("doc_id"), "source", "text")
+    taken = mix(thin, weights, cap, seed).groupBy(F.col("doc_id.__mix_row").alias("__mix_row"))
+    taken = taken.agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_equal")).where("__mix_copies > 0")
+    tagged = tagged.withColumn("__mix_nr", F.row_number().over(Window.partitionBy("__mix_row").orderBy("__mix_row")))
+    out = tagged.join(taken, "__mix_row")
+    own = F.floor(F.col("__mix_copies") * F.col("__mix_nr") / F.col("__mix_equal")) - F.floor(F.col("__mix_copies") * (F.col("__mix_nr") - 1) / F.col("__mix_equal"))
+    out = out.withColumn("__mix_own", own.cast("int")).where("__mix_own > 0")
+    return out.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_own")))).select(*[F.col(f"`{c}`") for c in docs.columns])

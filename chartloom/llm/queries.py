@@ -58,7 +58,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    out = classifier.classify(docs.select("doc_id", "text"), classifier.fit(docs))
+    out = classifier.classify(docs, classifier.fit(docs))
     return out.select("doc_id", F.round("posterior", 6).alias("posterior"), F.round("score", 4).alias("score"), "kept")
 
 
