@@ -16,6 +16,8 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of text whose words are hashed at once.
+CHUNK = 1_000_000
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -29,7 +31,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, INVERSE):
@@ -83,22 +85,38 @@ class Texts:
         self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) if texts else np.zeros(0, np.int64)
 
     def words(self, salt: int = 1, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word, number of words before the end of each text), as words part texts."""
-        n = len(self.raw)
-        if not n:
-            return np.zeros(0, U), np.zeros(len(self.ends), np.int64)
-        said = ~_space()[self.raw]
-        first = np.zeros(n + 1, bool)  # where a text starts
-        first[0] = True
-        first[self.ends] = True
-        starts = said.copy()
-        starts[1:] &= ~said[:-1] | first[1:n]
-        last = said.copy()
-        last[:-1] &= ~said[1:] | first[1:n]
-        start, end = np.flatnonzero(starts), np.flatnonzero(last) + 1
-        sums = prefix(byte_numbers(salt, lower)[self.raw])
-        hashes = between(sums, start, end, salt) + mix((end - start).astype(U), salt)
-        return mix(hashes, salt), np.searchsorted(start, self.ends)
+        """(hash of each word, number of words before the end of each text), as words part texts.
+
+        Some texts at a time, so that the byte-wide arrays stay small.
+        """
+        hashes, counts = [np.zeros(0, U)], []
+        at, begin = 0, 0
+        while at < len(self.ends):
+            to = max(at + 1, int(np.searchsorted(self.ends, begin + CHUNK, side="right")))
+            part, ends = self.raw[begin : self.ends[to - 1]], self.ends[at:to] - begin
+            some, before = _words(part, ends, salt, lower)
+            counts.append(np.diff(before, prepend=0))
+            hashes.append(some)
+            at, begin = to, int(self.ends[to - 1])
+        return np.concatenate(hashes), np.cumsum(np.concatenate(counts)) if counts else np.zeros(0, np.int64)
+
+
+def _words(raw: np.ndarray, ends: np.ndarray, salt: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw)
+    if not n:
+        return np.zeros(0, U), np.zeros(len(ends), np.int64)
+    said = ~_space()[raw]
+    first = np.zeros(n + 1, bool)  # where a text starts
+    first[0] = True
+    first[ends] = True
+    starts = said.copy()
+    starts[1:] &= ~said[:-1] | first[1:n]
+    last = said.copy()
+    last[:-1] &= ~said[1:] | first[1:n]
+    start, end = np.flatnonzero(starts), np.flatnonzero(last) + 1
+    sums = prefix(byte_numbers(salt, lower)[raw])
+    hashes = between(sums, start, end, salt) + mix((end - start).astype(U), salt)
+    return mix(hashes, salt), np.searchsorted(start, ends)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:

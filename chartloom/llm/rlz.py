@@ -26,7 +26,7 @@ from chartloom.llm.common import NULL_ID, key_of, keyed_partitions, partitions
 from chartloom.llm.hashing import Texts, U, between, blocks, fitting, inside, join48, mix, pack, prefix, sliding_least, sorted_rows, split48, unpack
 
 #: Words of a window, words of an anchor's k-gram, bytes of text in an indexed block.
-WINDOW, GRAM, BLOCK = 20, 8, 6_000_000
+WINDOW, GRAM, BLOCK = 20, 8, 5_000_000
 #: A run of windows: the first one's start, how many, the source's document and first start.
 RUN = np.dtype([("start", "<u4"), ("n", "<u4"), ("source", "<i8"), ("at", "<u4")])
 
@@ -134,10 +134,12 @@ def _resolved(window: int, gram: int):
         key = np.concatenate([join48(h[1], h[2]) for h in held])
         owner = np.concatenate([h[3].astype(np.int64) + base[i] for i, h in enumerate(held)])
         place = np.concatenate([h[4].astype(np.int64) for h in held])
-        mask = np.concatenate([h[5].astype(np.int64) for h in held])
+        mask = np.concatenate([h[5] for h in held])
         hashes = np.concatenate([join48(h[6], h[7]) for h in held])
         del held
-        record, bit = np.nonzero(mask[:, None] >> np.arange(reach + 1) & 1)
+        bits = np.unpackbits(mask.view(np.uint8), bitorder="little").reshape(len(mask), mask.itemsize * 8)
+        record, bit = (x.astype(np.int32) for x in np.nonzero(bits))
+        del bits
         both = mix(key)[record] + hashes * U(0x9E3779B97F4A7C15)
         order = np.argsort(both)
         same = both[order[1:]] == both[order[:-1]]

@@ -23,7 +23,7 @@ from chartloom.llm.common import cut, key_of, keyed_partitions, partitions
 from chartloom.llm.hashing import Texts, U, between, blocks, byte_numbers, fitting, inside, join48, mix, pack, prefix, sliding_least, sorted_rows, split48, unpack
 
 #: Bytes of a window, of an anchor's k-gram, of text in a block, of the shallow sort (whole symbols).
-WINDOW, GRAM, BLOCK, SHALLOW = 400, 32, 4_000_000, 64
+WINDOW, GRAM, BLOCK, SHALLOW = 400, 32, 1_500_000, 64
 #: Bytes [start, end) that go; and surroundings to compare: group, first window, windows, anchor's place behind the first, settled.
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 PLACE = np.dtype([("group", "<u8"), ("first", "<u4"), ("windows", "<u2"), ("anchor", "<u2"), ("settled", "u1")])
