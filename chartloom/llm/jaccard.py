@@ -199,7 +199,7 @@ def _met(small: int):
             members = np.flatnonzero(big)
             for s in range(0, len(members), 100_000):
                 i = members[s : s + 100_000]
-                yield _rows(2, len(i), id=sig[i].view(np.int64), a=table[node[i]])
+                yield _rows(2, len(i), id=sig[i].view(np.int64), a=table[node[i]], n=need[i] % 2, m=need[i] // 2)
 
     return run
 
@@ -242,36 +242,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for name, blob in zip(batch.column(0), batch.column(1), strict=True):
+        for name, blob, component in zip(*batch.columns, strict=True):
             values = np.frombuffer(blob.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(values), pa.binary()), pa.array(values), pa.array(np.full(len(values), len(values)))], names=["a", "shingle", "size"])
+            n = len(values)
+            columns = [pa.array([name.as_py()] * n, pa.binary()), pa.array(np.full(n, component.as_py())), pa.array(values), pa.array(np.full(n, n))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "component", "shingle", "size"])
 
 
-def _across(big: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of over-full groups' members that may link different components.
 
-    In each group all but the most frequent component's members are queries; a linked set
-    holds one of a query's rarest shingles, as many of them as it may lack and one more.
+    In each group all but the most frequent component's members are queries. A shingle
+    that no other member holds is out of the intersection, which rules out most pairs; a
+    linked set holds one of a query's rarest shingles, as many as it may lack and one more.
     """
     part = found.select(F.col("node").alias("least"), "component")
-    nodes = sets.join(big.select("a").distinct(), "a").join(part, "least", "left").withColumn("component", F.coalesce("component", "least"))
+    nodes = sets.join(members.select("a").distinct(), "a").join(part, "least", "left").withColumn("component", F.coalesce("component", "least"))
     nodes = cut(nodes.select("a", "shingles", "component"))
-    placed = big.join(nodes.select("a", "component"), "a")
+    placed = members.select("gid", "a").join(nodes.select("a", "component"), "a")
     counts = placed.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("n"))
     main = cut(counts.groupBy("gid").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    queries = placed.join(main, "gid").where("component <> main").select("a").distinct()
-    shingles = cut(nodes.select("a", "shingles").mapInArrow(_exploded, "a binary, shingle long, size long"))
-    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    rare = shingles.join(queries, "a").join(cut(often), "shingle")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("often", "shingle"))
+    queries = cut(placed.join(main, "gid").where("component <> main").select("a").distinct())
+    shingles = cut(nodes.select("a", "shingles", "component").mapInArrow(_exploded, "a binary, component long, shingle long, size long"))
+    often = cut(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
+    shared = shingles.join(often, "shingle")
+    shared = shared.withColumn("core", F.count(F.lit(1)).over(Window.partitionBy("a")))  # what others hold too
+    shared = cut(shared.where(F.col("core") * den >= F.col("size") * num))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("often", "shingle")) + F.col("size") - F.col("core")
     least = F.ceil(F.col("size") * num / den - 1e-9)
-    rare = cut(rare.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1).select("a", "shingle", "size"))
-    other = shingles.select(F.col("a").alias("b"), "shingle", F.col("size").alias("other"))
-    near = (F.col("size") * num <= F.col("other") * den) & (F.col("other") * num <= F.col("size") * den) & (F.col("a") != F.col("b"))
-    pairs = rare.join(other, "shingle").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    own = nodes.select("a", "component")
-    pairs = pairs.join(own, "a").join(own.select(F.col("a").alias("b"), F.col("component").alias("other")), "b")
-    return pairs.where("component <> other").select("a", "b")
+    rare = shared.join(queries, "a").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1)
+    rare = cut(rare.select("a", "component", "shingle", "size", "core"))
+    other = shared.select(F.col("a").alias("b"), F.col("component").alias("other"), "shingle", F.col("size").alias("b_size"), F.col("core").alias("b_core"))
+    most = F.least("core", "b_core")
+    near = (F.col("component") != F.col("other")) & (most * den >= (F.col("size") + F.col("b_size") - most) * num)
+    pairs = rare.join(other, (rare["shingle"] == other["shingle"]) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int = SMALL) -> DataFrame:
@@ -293,22 +298,29 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int
     met = rows.mapInArrow(_signed(k, num, den, keys), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_met(small), _OUT)
     met = cut(met)
     doc = met.where("kind = 0").select("id", "n", "a")
-    classes = cut(doc.where("n > 0").groupBy("a").agg(F.min("id").alias("least")))
+    classes = cut(doc.where("n > 0").groupBy("a").agg(F.min("id").alias("least"), F.first("n").alias("size")))
+    big = met.where("kind = 2").select(F.col("id").alias("gid"), "a", F.col("n").alias("side"), F.col("m").alias("need"))
+    # a pair's equal parts lie in small groups, which have counted them, or in as many over-full ones as both are in
+    crowd = big.groupBy("a", "side").agg(F.count(F.lit(1)).alias("b"), F.min("need").alias("need"))
+    crowd = cut(crowd.groupBy("a").agg(F.max("b").alias("crowded"), F.max(F.col("b") >= F.col("need")).alias("dense")))
     pairs = met.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("m").alias("m")).where("n >= m").select("a", "b")
-    big = met.where("kind = 2").select(F.col("id").alias("gid"), "a")
-    pivots = cut(big.groupBy("gid").agg(F.min("a").alias("b")))
-    spokes = big.join(pivots, "gid").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
+    pairs = pairs.join(crowd.select("a", F.col("crowded").alias("ca")), "a", "left").join(crowd.select(F.col("a").alias("b"), F.col("crowded").alias("cb")), "b", "left")
+    pairs = pairs.where("n + least(coalesce(ca, 0), coalesce(cb, 0)) >= m").select("a", "b")
+    members = cut(big.join(crowd.where("dense"), "a").select("gid", "a", "crowded"))
+    # the member of most over-full groups is likely central, and the pivot of all of them
+    pivots = cut(members.groupBy("gid").agg(F.max_by("a", F.struct("crowded", "a")).alias("b")))
+    spokes = members.join(pivots, "gid").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(pairs.union(spokes).distinct())
-    nodes = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).union(big.select("a")).distinct()
-    nodes = cut(nodes.join(classes, "a"))
+    nodes = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).union(members.select("a")).distinct()
+    nodes = cut(nodes.join(classes.select("a", "least"), "a"))
     texts = rows.join(nodes.select(F.col("least").alias("id"), "a"), "id").select("a", "text")
     sets = texts.mapInArrow(_blobs_of_sets(k), "a binary, shingles binary").dropDuplicates(["a"])
     sets = cut(sets.join(nodes, "a").select("a", "shingles", "least"))
     links = cut(_verified(pairs, sets, num, den))
     found = components(links)
-    if not big.isEmpty():
-        more = _verified(_across(big, sets, found, num, den), sets, num, den)
+    if not members.isEmpty():
+        more = _verified(_across(members, sets, found, num, den), sets, num, den)
         found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(cut(more)))
     named = classes.join(found.withColumnRenamed("node", "least"), "least", "left").select("a", F.coalesce("component", "least").alias("component"))
     named = cut(named)
