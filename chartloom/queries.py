@@ -62,7 +62,7 @@ _add(
 )
 _add("filter_rows", _one("lineitem", {"type": "filter", "expr": "datum.l_quantity < 5 && datum.l_returnflag === 'R' || datum.l_discount >= 0.1"}), "l_orderkey l_linenumber l_quantity l_discount",
      "SELECT l_orderkey, l_linenumber, round(l_quantity, 4) AS l_quantity, round(l_discount, 4) AS l_discount FROM lineitem WHERE l_quantity < 5 AND l_returnflag = 'R' OR l_discount >= 0.1")
-_add("formula_arithmetic", _one("orders", *_formulas(a="datum.o_totalprice * 2 - datum.o_custkey / 4", b="datum.o_orderkey % 7", c="datum.o_orderkey / 0", d="-datum.o_custkey + +'3.5'")), "o_orderkey a b c d",
+_add("formula_arithmetic", _one("orders", *_formulas(a="datum.o_totalprice * 2 - datum.o_custkey / 4", b="datum.o_orderkey % 7", c="(datum.o_orderkey + 1) / 0", d="-datum.o_custkey + +'3.5'")), "o_orderkey a b c d",
      "SELECT o_orderkey, round(o_totalprice * 2 - o_custkey / 4.0, 4) AS a, (o_orderkey % 7)::double AS b, 'infinity'::double AS c, round(-o_custkey + 3.5, 4)::double AS d FROM orders")
 _add("project_fields", _one("customer", {"type": "project", "fields": ["c_custkey", "c_mktsegment", "no_such_field"]}), "c_custkey c_mktsegment", "SELECT c_custkey, c_mktsegment FROM customer")
 _add("extent_signal", {"data": [{"name": "t", "url": "orders.parquet", "transform": [{"type": "extent", "field": "o_totalprice", "signal": "ext"}]}, {"name": "out", "values": [{"k": 1}], "transform": _formulas(lo="ext[0]", hi="ext[1]", s="span(ext)")}]},
@@ -91,8 +91,8 @@ _add("window_rows_frame", _one("events", {"type": "window", "groupby": ["event_t
      FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 _add("window_groups_frame", _one("part", {"type": "window", "groupby": ["p_brand"], "sort": {"field": "p_size"}, "frame": [-1, 1], "ops": ["count", "sum"], "fields": [None, "p_size"], "as": ["n", "s"]}), "p_partkey n s",
      "SELECT p_partkey, count(*) OVER w AS n, (sum(p_size) OVER w)::double AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
-_add("window_running", _one("orders", {"type": "window", "groupby": ["o_custkey"], "sort": {"field": "o_orderkey"}, "ops": ["sum", "row_number", "lag", "lead"], "fields": ["o_orderkey", None, "o_orderkey", "o_orderkey"], "as": ["run", "rn", "before", "after"]}), "o_orderkey run rn before after",
-     "SELECT o_orderkey, (sum(o_orderkey) OVER w)::double AS run, (row_number() OVER w)::int AS rn, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+_add("window_running", _one("orders", {"type": "window", "groupby": ["o_custkey"], "sort": {"field": "o_orderkey"}, "ops": ["sum", "row_number", "lag", "lead"], "fields": ["o_orderkey", None, "o_orderkey", "o_orderkey"], "as": ["run", "rn", "before", "after"]}, *_formulas(before="+datum.before", after="+datum.after")), "o_orderkey run rn before after",
+     "SELECT o_orderkey, (sum(o_orderkey) OVER w)::double AS run, (row_number() OVER w)::int AS rn, (lag(o_orderkey) OVER w)::double AS before, (lead(o_orderkey) OVER w)::double AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 _add("top_k_per_group", _one("orders", {"type": "window", "groupby": ["o_orderpriority"], "sort": {"field": ["o_totalprice", "o_orderkey"], "order": ["descending", "ascending"]}, "ops": ["row_number"], "as": ["rn"]}, {"type": "filter", "expr": "datum.rn <= 5"}), "o_orderpriority o_orderkey rn",
      "SELECT o_orderpriority, o_orderkey, rn::int AS rn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 5")
 _SIGNED = _formulas(v="datum.o_orderkey % 3 == 0 ? -(datum.o_orderkey % 100) : datum.o_orderkey % 100")

@@ -41,17 +41,17 @@ def read_url(spark: SparkSession, url: str, form: dict | None, scope: Scope, tab
     if m := INLINE.fullmatch(url):
         if m[1] in tables:
             return tables[m[1]]
-        if spark.catalog.tableExists(m[1]):
+        if re.fullmatch(r"[\w.]+", m[1]) and spark.catalog.tableExists(m[1]):
             return spark.table(m[1])
         raise ValueError(f"no dataset is registered as {m[1]!r}")
-    if base and "://" not in url and not url.startswith("/"):
-        url = f"{base.rstrip('/')}/{url}"
     try:
         kind = format_of(url, form.get("type"))
     except ValueError:
-        if spark.catalog.tableExists(url):
+        if re.fullmatch(r"[\w.]+", url) and spark.catalog.tableExists(url):
             return spark.table(url)
         raise
+    if base and "://" not in url and not url.startswith("/"):
+        url = f"{base.rstrip('/')}/{url}"
     parse = form.get("parse") if isinstance(form.get("parse"), dict) else {}
     if kind in ("csv", "tsv"):
         df = read_csv(spark, url, form.get("delimiter") or ("\t" if kind == "tsv" else ","), parse)
