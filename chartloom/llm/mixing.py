@@ -12,9 +12,9 @@ CLASSES = 48
 SALTS = 16
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words; null text: 0)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, source, size (words; null text: 0) and carried columns."""
+    return docs.select("doc_id", "source", *carried, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -36,7 +36,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], cap: float) -> DataFra
     return rows.select("source", "source_size", F.least("most", F.col("w") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row for each input row.
 
     Each source's expected copies per document are target / source_size, the same for all
@@ -49,10 +49,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
 
     Null text has size 0. Null sources are a source, ordered last. Empty tables give no
     rows. Repeated rows are documents of their own. A source without words takes nothing.
-    Columns beyond doc_id, text and source are ignored.
+    Columns beyond doc_id, text and source are ignored, but for ``carried`` ones.
     """
     cell = ["source", "cls", "salt"]
-    rows = sized(docs).withColumns({"cls": F.floor(F.log(F.col("size") + 1.0) * CLASSES).cast("int"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
+    rows = sized(docs, *carried).withColumns({"cls": F.floor(F.log(F.col("size") + 1.0) * CLASSES).cast("int"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
     rows = cut(rows)
     cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     totals = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     so_far = Window.partitionBy("source").orderBy("cls", "salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("start", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
     cells = cells.alias("c").join(goal.alias("g"), F.expr("c.source <=> g.source")).select(*[F.col(f"c.{k}").alias(f"c_{k}") for k in cell], "start", "source_size", "target", "u")
-    inside = Window.partitionBy(*cell).orderBy("size", "doc_id")
+    inside = Window.partitionBy(*cell).orderBy("size", "doc_id", *carried)
     ranked = rows.withColumn("rank", F.row_number().over(inside))
     same = F.expr("source <=> c_source AND cls = c_cls AND salt = c_salt")
     out = ranked.join(cells, same).withColumn("rank", F.col("rank") + F.col("start"))
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     out = out.withColumn("rate", rate)
     crossed = F.floor(F.col("rank") * F.col("rate") + F.col("u")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("u"))
     out = out.withColumn("copies", crossed.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", *carried, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
@@ -77,12 +77,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     A hash of the whole row carries the copies back to it; rows equal in every column
     share the copies that they were given together.
     """
-    tagged = docs.withColumn("__mix_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    thin = tagged.select(F.struct("doc_id", "__mix_row").alias("doc_id"), "source", "text")
-    taken = mix(thin, weights, cap, seed).groupBy(F.col("doc_id.__mix_row").alias("__mix_row"))
+    tagged = docs.withColumn("__mix_hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    taken = mix(tagged, weights, cap, seed, ("__mix_hash",)).groupBy("__mix_hash")
     taken = taken.agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_equal")).where("__mix_copies > 0")
-    tagged = tagged.withColumn("__mix_nr", F.row_number().over(Window.partitionBy("__mix_row").orderBy("__mix_row")))
-    out = tagged.join(taken, "__mix_row")
+    tagged = tagged.withColumn("__mix_nr", F.row_number().over(Window.partitionBy("__mix_hash").orderBy("__mix_hash")))
+    out = tagged.join(taken, "__mix_hash")
     own = F.floor(F.col("__mix_copies") * F.col("__mix_nr") / F.col("__mix_equal")) - F.floor(F.col("__mix_copies") * (F.col("__mix_nr") - 1) / F.col("__mix_equal"))
     out = out.withColumn("__mix_own", own.cast("int")).where("__mix_own > 0")
     return out.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_own")))).select(*[F.col(f"`{c}`") for c in docs.columns])

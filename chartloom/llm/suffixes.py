@@ -306,6 +306,9 @@ def _sorted(window: int, shallow: int):
             raw, ends = h[3].tobytes(), np.cumsum(h[2].astype(np.int64)).tolist()
             texts += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         del held
+        # a repeated row has brought its places twice
+        own = list({(g, i, f, t): k for k, (g, i, f, t) in enumerate(zip(places["group"].tolist(), ids.tolist(), places["first"].tolist(), texts, strict=True))}.values())
+        ids, places, texts = ids[own], places[own], [texts[k] for k in own]
         anchor = places["anchor"].astype(np.int64)
         by = np.argsort(places["group"], kind="stable")
         group = np.empty(len(by), np.int64)
