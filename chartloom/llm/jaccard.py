@@ -300,13 +300,15 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int
     doc = met.where("kind = 0").select("id", "n", "a")
     classes = cut(doc.where("n > 0").groupBy("a").agg(F.min("id").alias("least"), F.first("n").alias("size")))
     big = met.where("kind = 2").select(F.col("id").alias("gid"), "a", F.col("n").alias("side"), F.col("m").alias("need"))
-    # a pair's equal parts lie in small groups, which have counted them, or in as many over-full ones as both are in
+    # a pair's equal parts lie in small groups, which have counted them, or in as many over-full ones as both are in;
+    # dense members of a common over-full group are joined there, others have all their equal parts in small groups
     crowd = big.groupBy("a", "side").agg(F.count(F.lit(1)).alias("b"), F.min("need").alias("need"))
     crowd = cut(crowd.groupBy("a").agg(F.max("b").alias("crowded"), F.max(F.col("b") >= F.col("need")).alias("dense")))
     pairs = met.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m")
     pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
-    pairs = pairs.join(crowd.select("a", F.col("crowded").alias("ca")), "a", "left").join(crowd.select(F.col("a").alias("b"), F.col("crowded").alias("cb")), "b", "left")
-    pairs = pairs.where("n + least(coalesce(ca, 0), coalesce(cb, 0)) >= m").select("a", "b")
+    pairs = pairs.join(crowd.select("a", F.col("crowded").alias("ca"), F.col("dense").alias("da")), "a", "left")
+    pairs = pairs.join(crowd.select(F.col("a").alias("b"), F.col("crowded").alias("cb"), F.col("dense").alias("db")), "b", "left")
+    pairs = pairs.where("n + if(da AND db, 0, least(coalesce(ca, 0), coalesce(cb, 0))) >= m").select("a", "b")
     members = cut(big.join(crowd.where("dense"), "a").select("gid", "a", "crowded"))
     # the member of most over-full groups is likely central, and the pivot of all of them
     pivots = cut(members.groupBy("gid").agg(F.max_by("a", F.struct("crowded", "a")).alias("b")))
