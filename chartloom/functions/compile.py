@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from chartloom.functions import selections, times
 from chartloom.functions.parser import Array, Binary, Call, Conditional, ExpressionError, Literal, Logical, Member, Name, Object, Unary, parse
-from chartloom.functions.types import Typed, boolean, divided, floored, js_number, kind_of, literal, number, remainder, string, unified
+from chartloom.functions.types import Typed, boolean, divided, floored, js_number, kind_of, literal, may_be_nan, number, remainder, string, unified
 
 #: Names with fixed values. MIN_VALUE is the least normal double.
 CONSTANTS = {
@@ -122,9 +122,9 @@ class Compiler:
             return _double(remainder(number(a), number(b)))
         if op in ("<", "<=", ">", ">="):
             x, y = number(a), number(b)
-            # NaN is below and above nothing; Spark takes it for the greatest number
-            ok = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op] & ~F.isnan(x) & ~F.isnan(y)
-            return Typed(ok, "boolean", T.BooleanType())
+            # NaN is below and above nothing; Spark takes it for the greatest number, so it matters on the greater side
+            ok, greater, t = {"<": (x < y, y, b), "<=": (x <= y, y, b), ">": (x > y, x, a), ">=": (x >= y, x, a)}[op]
+            return Typed(ok & ~F.isnan(greater) if may_be_nan(t) else ok, "boolean", T.BooleanType())
         if op in ("==", "===", "!=", "!=="):
             same = self.equal(a, b, strict=len(op) == 3)
             return Typed(same if op[0] == "=" else ~same, "boolean", T.BooleanType())
@@ -146,8 +146,29 @@ class Compiler:
             return F.coalesce(a.col == b.col, F.lit(False))
         if strict and ("string" in (a.kind, b.kind) or "boolean" in (a.kind, b.kind)):
             return F.lit(False)
+        return F.coalesce(self._same_number(a, b), F.lit(False))
+
+    @staticmethod
+    def _same_number(a: Typed, b: Typed) -> Column:
         x, y = number(a), number(b)
-        return F.coalesce((x == y) & ~F.isnan(x), F.lit(False))
+        return (x == y) & ~F.isnan(x) if may_be_nan(a) and may_be_nan(b) else x == y
+
+    def condition(self, text) -> Column:
+        """An expression as a filter's condition: where only true counts, nulls need no guard and scans can take the tests."""
+        node = parse(text) if isinstance(text, str) else text
+        if isinstance(node, Logical):
+            sides = [self.of(node.left), self.of(node.right)]
+            if all(x.kind == "boolean" for x in sides):
+                a, b = self.condition(node.left), self.condition(node.right)
+                return a & b if node.op == "&&" else a | b
+        if isinstance(node, Binary) and node.op in ("==", "==="):
+            a, b = self.of(node.left), self.of(node.right)
+            if a.kind == b.kind == "string" or a.kind == b.kind == "boolean":
+                return a.col == b.col
+            if a.kind == b.kind == "number":
+                return self._same_number(a, b)
+        typed = self.of(node)
+        return typed.col if typed.kind == "boolean" else boolean(typed)
 
     def logical(self, node: Logical) -> Typed:
         a, b = self.of(node.left), self.of(node.right)
@@ -240,7 +261,7 @@ class Compiler:
             operation = self.of(node.args[1]).value if len(node.args) > 1 else "union"
             return literal(selections.resolve(rows, operation or "union"))
         operation = self.of(node.args[2]).value if len(node.args) > 2 else "union"
-        return Typed(selections.test(rows, lambda f: self.column(unescaped(f)), operation or "union"), "boolean", T.BooleanType())
+        return Typed(selections.test(rows, lambda f: self.column(unescaped(f)), operation or "union", self.scope.zone), "boolean", T.BooleanType())
 
     def instant(self, x: Typed, zone: str | None = None) -> Column:
         """As a timestamp: numbers are epoch milliseconds, strings are parsed."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartloom.functions import times
 from chartloom.functions.parser import ExpressionError
 from chartloom.functions.types import Typed, number, string
 
@@ -17,16 +18,27 @@ from chartloom.functions.types import Typed, number, string
 RANGES = {"R": (False, False), "R-E": (True, True), "R-LE": (True, False), "R-RE": (False, True)}
 
 
+def _as_number(v: object, zone: str) -> float | None:
+    """A store's value as a number; times that the chart sends without a zone are local."""
+    if not isinstance(v, str):
+        return float(v)
+    try:
+        return float(v)
+    except ValueError:
+        t = times.host_parsed(v, zone)
+        return None if t is None else round(t.timestamp() * 1000)
+
+
 def _truth(value: object) -> bool:
     return value not in ("false", "", False, None, 0)
 
 
-def _in(column: Typed, values: list) -> Column:
+def _in(column: Typed, values: list, zone: str) -> Column:
     some = [v for v in values if v is not None]
     if column.kind == "boolean":
         test = column.col.isin([_truth(v) for v in some])
     elif column.kind in ("number", "time"):
-        numbers = [float(v) for v in some if not isinstance(v, str) or v.replace(".", "", 1).lstrip("-").isdigit()]
+        numbers = [n for v in some if (n := _as_number(v, zone)) is not None]
         whole = isinstance(column.dtype, T.IntegralType) and all(n == int(n) for n in numbers if math.isfinite(n))
         test = column.col.isin([int(n) for n in numbers]) if whole else number(column).isin(numbers)
     else:
@@ -42,10 +54,13 @@ def _text(v: object) -> str:
     return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
 
-def _within(column: Typed, values: list, kind: str) -> Column:
+def _within(column: Typed, values: list, kind: str, zone: str) -> Column:
     if len(values) < 2:
         raise ExpressionError("a range selection needs two bounds")
-    low, high = sorted((float(values[0]), float(values[-1])))
+    ends = [_as_number(v, zone) for v in (values[0], values[-1])]
+    if None in ends:
+        return F.lit(False)
+    low, high = sorted(ends)
     less, more = RANGES[kind]
     if isinstance(column.dtype, T.IntegralType) and math.isfinite(low) and math.isfinite(high):
         # whole bounds on the column's own type let the scan use its statistics
@@ -55,7 +70,7 @@ def _within(column: Typed, values: list, kind: str) -> Column:
     return F.coalesce((c > low if less else c >= low) & (c < high if more else c <= high), F.lit(False))
 
 
-def test(rows: list[dict], column_of, operation: str = "union") -> Column:
+def test(rows: list[dict], column_of, operation: str = "union", zone: str = "UTC") -> Column:
     """Whether a row of the data is selected by a store's rows; an empty store selects nothing.
 
     ``column_of`` gives the typed column of a field. In a store's row all fields must hold;
@@ -77,9 +92,9 @@ def test(rows: list[dict], column_of, operation: str = "union") -> Column:
             kind = field.get("type", "E")
             value = value if isinstance(value, list | tuple) else [value]
             if kind == "E":
-                one.append(_in(column, list(value)))
+                one.append(_in(column, list(value), zone))
             elif kind in RANGES:
-                one.append(_within(column, list(value), kind))
+                one.append(_within(column, list(value), kind, zone))
             else:
                 raise ExpressionError(f"unknown selection type {kind!r}")
         tests.append(functools.reduce(operator.and_, one) if one else F.lit(True))

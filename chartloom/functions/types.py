@@ -51,9 +51,18 @@ def number(t: Typed) -> Column:
         return F.lit(None).cast("double")
     if t.kind in ("array", "object"):
         return F.lit(None).cast("double")
+    if t.kind == "number":
+        return t.col if isinstance(t.dtype, T.DoubleType) else t.col.cast("double")
     return t.col.try_cast("double")
 
 
+def may_be_nan(t: Typed) -> bool:
+    """Whether a value can be NaN as a number (whole numbers, times and plain constants cannot)."""
+    if t.kind == "number":
+        return not isinstance(t.dtype, T.IntegralType | T.DecimalType) and not (t.constant and not math.isnan(t.value))
+    return t.kind == "string"
+
+
 def _instant(t: Typed) -> Column:
     return F.unix_millis(t.col.cast("timestamp"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from chartloom.functions import times
 from chartloom.functions.compile import Compiler, Scope, quoted, unescaped
 from chartloom.functions.host import Host
-from chartloom.functions.types import Typed, boolean, kind_of, number, string, unified
+from chartloom.functions.types import Typed, kind_of, number, string, unified
 from chartloom.operators import aggregates
 from chartloom.operators.binning import solve
 from chartloom.operators.frame import ORDER, numbered, ordered, reordered
@@ -54,7 +54,7 @@ def sort_keys(df: DataFrame, sort: dict | None) -> list[Column]:
 
 
 def filter_(df: DataFrame, spec: dict, scope: Scope) -> Result:
-    return df.filter(boolean(Compiler(df, scope).typed(spec["expr"]))), {}
+    return df.filter(Compiler(df, scope).condition(spec["expr"])), {}
 
 
 def formula(df: DataFrame, spec: dict, scope: Scope) -> Result:
@@ -65,7 +65,7 @@ def project(df: DataFrame, spec: dict, scope: Scope) -> Result:
     fields = [name_of(f) for f in spec.get("fields", [])]
     given = spec.get("as") or []
     columns = [quoted(f).alias(unescaped(given[i]) if i < len(given) and given[i] else f) for i, f in enumerate(fields) if f in df.columns]
-    return df.select(ORDER, *columns), {}
+    return df.select(*[c for c in (ORDER,) if c in df.columns], *columns), {}
 
 
 def extent(df: DataFrame, spec: dict, scope: Scope) -> Result:
@@ -374,15 +374,22 @@ TRANSFORMS = {
 }
 
 
+#: Transforms of single rows: they leave the order alone and come before it, so that filters reach the scan.
+_BY_ROW = ("filter", "formula", "project", "extent", "bin", "timeunit")
+
+
 def run(df: DataFrame, transforms: list[dict], scope: Scope) -> Result:
-    """A pipeline of transforms; their output signals are visible to those after."""
-    df = ordered(df)
+    """A pipeline of transforms; their output signals are visible to those after.
+
+    The order column is added where a transform first needs it: ids of rows that have been
+    filtered ascend like those of all rows, and a scan below them takes the filters.
+    """
     signals: dict = {}
     for spec in transforms:
         kind = spec["type"]
         if kind not in TRANSFORMS:
             raise ValueError(f"transform {kind!r} is not supported")
         own = Scope(ChainMap(signals, scope.signals), scope.rows, scope.zone, scope.input_zone, scope.session)
-        df, more = TRANSFORMS[kind](df, spec, own)
+        df, more = TRANSFORMS[kind](df if kind in _BY_ROW else ordered(df), spec, own)
         signals |= more
     return df, signals

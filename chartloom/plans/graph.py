@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chartloom.functions import times
 from chartloom.functions.compile import Scope
 from chartloom.functions.host import Host
-from chartloom.operators.frame import ordered, plain
+from chartloom.operators.frame import plain
 from chartloom.operators.transforms import run
 from chartloom.plans import spec as S
 from chartloom.sources import readers, sinks
@@ -97,7 +97,7 @@ class Graph:
         return found
 
     def frame(self, name: str, path: S.Path = (), upto: int | None = None) -> DataFrame:
-        """A dataset after its transforms (the first ``upto`` of them), with its order."""
+        """A dataset after its transforms (the first ``upto`` of them), with its order if that is not the scan's."""
         key = S.lookup(self.data, name, path)
         if key is None:
             raise ValueError(f"no dataset {name!r} in scope {list(path)}")
@@ -135,6 +135,6 @@ class Graph:
             values = [values]
         return readers.dated(readers.from_values(self.spark, values or []), parse, scope)
 
-    def result(self, name: str, path: S.Path = (), upto: int | None = None) -> DataFrame:
-        """A dataset as it is handed out: in order, without hidden columns."""
-        return plain(ordered(self.frame(name, path, upto)))
+    def result(self, name: str, path: S.Path = (), upto: int | None = None, in_order: bool = True) -> DataFrame:
+        """A dataset as it is handed out: in order unless that does not matter, without hidden columns."""
+        return plain(self.frame(name, path, upto), in_order)

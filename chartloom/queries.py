@@ -21,10 +21,10 @@ def _rounded(df: DataFrame, columns: list[str], digits: int) -> DataFrame:
     return df.select(*[(F.round(F.col(f"`{c}`"), digits) if isinstance(kinds[c], T.DoubleType) else F.col(f"`{c}`")).alias(c) for c in columns])
 
 
-def _add(name: str, spec: Callable[[], dict] | dict, columns: str, sql: str, digits: int = 4, zone: str = "UTC", dataset: str = "out") -> None:
+def _add(name: str, spec: dict, columns: str, sql: str, digits: int = 4, zone: str = "UTC", dataset: str = "out") -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         runtime = Runtime(spark, local_tz=zone, default_input_tz="UTC", base=sf_dir)
-        (df,), _ = runtime.pre_transform_datasets(spec() if callable(spec) else spec, [dataset])
+        (df,), _ = runtime.pre_transform_datasets(spec, [dataset], in_order=False)
         return _rounded(df, columns.split(), digits)
 
     QUERIES[name] = query
@@ -171,7 +171,7 @@ def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
         "marks": [{"type": "rect", "from": {"data": "t"}, "encode": {"update": {"x": {"scale": "x", "field": "o_orderpriority"}}}}],
     }
     plan = runtime.plan(spec, projections=False)
-    (df,), _ = runtime.pre_transform_datasets(plan.server, ["t_x_domain_o_orderpriority"])
+    (df,), _ = runtime.pre_transform_datasets(plan.server, ["t_x_domain_o_orderpriority"], in_order=False)
     return _rounded(df, ["o_orderpriority", "sort_field"], 4)
 
 

@@ -100,8 +100,11 @@ class Runtime:
 
     # pre-transformation
 
-    def pre_transform_datasets(self, spec: dict, datasets: list, local_tz: str | None = None, default_input_tz: str | None = None, row_limit: int | None = None, inline_datasets: dict | None = None, dataset_format: str = "spark") -> tuple[list, list[dict]]:
-        """(the named datasets, warnings); frames are lazy unless a limit or a format asks for rows."""
+    def pre_transform_datasets(self, spec: dict, datasets: list, local_tz: str | None = None, default_input_tz: str | None = None, row_limit: int | None = None, inline_datasets: dict | None = None, dataset_format: str = "spark", in_order: bool = True) -> tuple[list, list[dict]]:
+        """(the named datasets, warnings); frames are lazy unless a limit or a format asks for rows.
+
+        Without ``in_order`` the last sort is left out.
+        """
         keys = [_key(d) for d in datasets]
         known, analysis = S.datasets(spec), Analysis(spec, fixed=False)
         for key in keys:
@@ -112,7 +115,7 @@ class Runtime:
         graph = self.graph(copy.deepcopy(spec), inline_datasets, local_tz, default_input_tz)
         out, cut = [], []
         for key in keys:
-            df, more = limited(graph.result(*key), row_limit)
+            df, more = limited(graph.result(*key, in_order=in_order), row_limit)
             cut += [key] * more
             out.append(sinks.converted(df, dataset_format))
         return out, [_warning("RowLimitExceeded", f"cut to {row_limit} rows", cut)] if cut else []

@@ -151,3 +151,20 @@ def test_local_times_are_sent_without_zone(spark):
     }
     out, _ = runtime.pre_transform_spec(spec)
     assert out["data"][0]["values"] == [{"t": "2023-06-19T22:00:00.000"}] and out["data"][0]["format"]["parse"] == {"t": "date"}
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    runtime = Runtime(spark, base="/root/testdata/sf0.001")
+    spec = {"data": [{"name": "d", "url": "lineitem.parquet", "transform": [{"type": "filter", "expr": "datum.l_quantity < 5 && datum.l_returnflag == 'R'"}, {"type": "aggregate", "groupby": ["l_linestatus"], "ops": ["sum"], "fields": ["l_tax"]}]}]}
+    (df,), _ = runtime.pre_transform_datasets(spec, ["d"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(l_quantity,5.0)" in plan and "EqualTo(l_returnflag,R)" in plan
+    assert "ReadSchema: struct<l_quantity:double,l_tax:double,l_returnflag:string,l_linestatus:string>" in plan
+
+
+def test_selection_of_local_times(spark):
+    runtime = Runtime(spark, local_tz="America/New_York", default_input_tz="UTC")
+    store = [{"unit": "", "fields": [{"field": "t", "type": "R"}], "values": [["2023-06-20 00:00:00", "2023-06-20 12:00:00"]]}]
+    spec = {"data": [{"name": "s", "values": store}, {"name": "d", "values": [{"t": f"2023-06-20 {h:02d}:00:00"} for h in (3, 4, 16, 17)], "format": {"parse": {"t": "date"}}, "transform": [{"type": "filter", "expr": "vlSelectionTest('s', datum)"}]}]}
+    (df,), _ = runtime.pre_transform_datasets(spec, ["d"])
+    assert [r.t.hour for r in df.collect()] == [4, 16]
