@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from chartloom.llm import graph, jaccard, syncmers
 
@@ -92,7 +93,7 @@ def test_fingerprints(docs, rows):
 def test_anchors_do_not_depend_on_their_surroundings(spark):
     words = [f"w{i * i % 97}" for i in range(200)]
     texts = [" ".join(words), "some other words first " + " ".join(words[50:150]) + " and others last"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").select(syncmers.anchors("text" if False else __import__("pyspark").sql.functions.col("text")).alias("a"))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(syncmers.anchors(F.col("text")).alias("a"))
     a, b = ({x.pos: x.hash for x in r.a} for r in df.collect())
     shared = {p: h for p, h in b.items() if 4 <= p <= 100}
     assert shared == {p - 50 + 4: h for p, h in a.items() if 50 <= p <= 146} and len(shared) > 30
