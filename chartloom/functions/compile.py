@@ -321,7 +321,7 @@ class Compiler:
             inner = x.dtype.elementType
             want = y.col if kind_of(inner) == y.kind else string(y) if kind_of(inner) == "string" else number(y).cast(inner)
             return _double(F.coalesce(F.array_position(x.col, want), F.lit(0)) - 1)
-        return _double(F.instr(string(x), string(y)) - 1 if y.constant is False else F.locate(str(y.value), string(x)) - 1)
+        return _double(F.call_function("instr", string(x), string(y)) - 1)
 
     def f_format(self, args: list[Typed]) -> Typed:
         if len(args) != 2 or args[1].value != "":

@@ -130,9 +130,8 @@ def literal(value: object) -> Typed:
         return Typed(F.timestamp_millis(F.lit(ms)), "time", T.TimestampType(), value)
     if isinstance(value, list | tuple):
         items = unified([literal(x) for x in value])
-        kind = items[0].kind if items else "null"
         dtype = T.ArrayType(items[0].dtype if items else T.DoubleType())
-        return Typed(F.array(*[x.col for x in items]) if items else F.array().cast(dtype), "array", dtype, list(value)) if kind else None
+        return Typed(F.array(*[x.col for x in items]) if items else F.array().cast(dtype), "array", dtype, list(value))
     if isinstance(value, dict):
         items = {k: literal(v) for k, v in value.items()}
         if not items:
