@@ -253,8 +253,8 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, num: int, den
     """Pairs (a, b) of over-full groups' members that may link different components.
 
     In each group all but the most frequent component's members are queries. A shingle
-    that no other member holds is out of the intersection, which rules out most pairs; a
-    linked set holds one of a query's rarest shingles, as many as it may lack and one more.
+    that no other member holds is out of the intersection, which rules out most pairs; of
+    two linked sets the rarest shingles, as many as each may lack and one more, meet.
     """
     part = found.select(F.col("node").alias("least"), "component")
     nodes = sets.join(members.select("a").distinct(), "a").join(part, "least", "left").withColumn("component", F.coalesce("component", "least"))
@@ -267,15 +267,18 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, num: int, den
     often = cut(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
     shared = shingles.join(often, "shingle")
     shared = shared.withColumn("core", F.count(F.lit(1)).over(Window.partitionBy("a")))  # what others hold too
-    shared = cut(shared.where(F.col("core") * den >= F.col("size") * num))
+    shared = shared.where(F.col("core") * den >= F.col("size") * num)
     rank = F.row_number().over(Window.partitionBy("a").orderBy("often", "shingle")) + F.col("size") - F.col("core")
     least = F.ceil(F.col("size") * num / den - 1e-9)
-    rare = shared.join(queries, "a").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1)
-    rare = cut(rare.select("a", "component", "shingle", "size", "core"))
-    other = shared.select(F.col("a").alias("b"), F.col("component").alias("other"), "shingle", F.col("size").alias("b_size"), F.col("core").alias("b_core"))
+    rare = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1)
+    rare = rare.groupBy("a", "component", "size", "core").agg(F.collect_set("shingle").alias("rare"))
+    rare = cut(rare)
+    mine = rare.join(queries, "a").withColumn("shingle", F.explode("rare"))
+    other = rare.select(*[F.col(c).alias(f"b_{c}") for c in ("component", "size", "core", "rare")], F.col("a").alias("b"), F.explode("rare").alias("b_shingle"))
     most = F.least("core", "b_core")
-    near = (F.col("component") != F.col("other")) & (most * den >= (F.col("size") + F.col("b_size") - most) * num)
-    pairs = rare.join(other, (rare["shingle"] == other["shingle"]) & near)
+    near = (F.col("component") != F.col("b_component")) & (most * den >= (F.col("size") + F.col("b_size") - most) * num)
+    once = F.col("shingle") == F.array_min(F.array_intersect("rare", "b_rare"))  # of all that the two share one brings the pair
+    pairs = mine.join(other, (F.col("shingle") == F.col("b_shingle")) & near & once)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
