@@ -115,17 +115,24 @@ def _by_document(doc: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], names=["id", "runs"])
 
 
-def _resolved(window: int, gram: int):
-    """Blobs of one partition to (id, runs): each window that starts earlier elsewhere, with the place."""
-    reach = window - gram
+def _resolved(window: int, gram: int, keys: list[int]):
+    """Blobs of one partition to (key, blob) by document: each window that starts earlier elsewhere, with the place."""
+    reach, parts = window - gram, len(keys)
+
+    def dealt(doc: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+        to = (mix(doc.astype(U), 32) % U(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(parts + 1))
+        some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+        blobs = [pack([("<i8", doc[i]), ("u1", runs[i].view("u1"))]) for p in some for i in (order[cuts[p] : cuts[p + 1]],)]
+        return pa.RecordBatch.from_arrays([pa.array([keys[p] for p in some], pa.int64()), pa.array(blobs, pa.binary())], names=["key", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, passed = [], []
         for batch in batches:
             for blob in batch.column(1):
                 doc, runs, *rest = unpack(blob.as_py())
-                if len(doc):
-                    yield _by_document(doc, runs.view(RUN))
+                passed.append((doc, runs.view(RUN)))
                 held.append(rest)
         if not held:
             return
@@ -158,11 +165,19 @@ def _resolved(window: int, gram: int):
         at = first[again]
         doc, start, source, at = doc[again], start[again], doc[at], start[at]
         order = np.lexsort((start, doc))
-        yield _by_document(*_runs(doc[order], start[order], source[order], at[order]))
+        passed.append(_runs(doc[order], start[order], source[order], at[order]))
+        yield dealt(np.concatenate([d for d, _ in passed]), np.concatenate([r for _, r in passed]))
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs of one partition's documents to a row (id, runs) for each."""
+    held = [unpack(blob.as_py()) for batch in batches for blob in batch.column(1)]
+    if held:
+        yield _by_document(np.concatenate([h[0] for h in held]), np.concatenate([h[1].view(RUN) for h in held]))
+
+
 def factors(runs: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
     """The parse of one document: factors (start, end, source document, source start) in words.
 
@@ -204,7 +219,7 @@ def _kept(window: int, as_text: bool):
             for text, runs in zip(batch.column(1), batch.column(2), strict=True):
                 words = _WORD.findall((text.as_py() or "").encode())
                 n = len(words)
-                found = factors(np.frombuffer(b"".join(runs.as_py()), RUN), window) if runs.is_valid else []
+                found = factors(np.frombuffer(runs.as_py(), RUN), window) if runs.is_valid else []
                 if found:
                     left = np.ones(n, bool)
                     for start, end, _, _ in found:
@@ -228,7 +243,7 @@ def parsed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int =
     keys = keyed_partitions(spark, partitions(spark))
     rows = docs.select("doc_id", key_of(F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     index = rows.select("id", "text").mapInArrow(_indexed(window, gram, keys, block), "key long, blob binary").repartition(len(keys), "key")
-    runs = index.mapInArrow(_resolved(window, gram), "id long, runs binary").groupBy("id").agg(F.collect_list("runs").alias("runs"))
+    runs = index.mapInArrow(_resolved(window, gram, keys), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_gathered, "id long, runs binary")
     return rows.join(runs, "id", "left").select("doc_id", "text", "runs")
 
 
