@@ -17,7 +17,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rlz.digests(documents(spark, sf_dir))
+    return rlz.digests(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,25 @@ def queries() -> dict:
     return {f.__name__: f for f in OPERATORS}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: Where SQL can express a query; the others are held against brute-force versions in the tests.
+ORACLES = {
+    "op1_repeated_passages": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        k AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i:i + 19], ' ') END AS key FROM p),
+        f AS (SELECT doc_id, i, word, (key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1)::int AS again FROM k),
+        c AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        g AS (SELECT doc_id, count(*) AS n, sum(gone)::bigint AS r, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)""",
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS l FROM w),
+        t AS (SELECT doc_id, len(l) AS n, unnest(l) AS x FROM s), j AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT u, v FROM j WHERE 100 * c >= 85 * (m + n - c)), ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, ways.v FROM reach JOIN ways ON reach.v = ways.u)
+        SELECT doc_id, len(l)::bigint AS n_shingles, least_id AS component_id FROM s JOIN (SELECT u AS doc_id, min(v) AS least_id FROM reach GROUP BY 1) USING (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
