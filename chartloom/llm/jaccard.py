@@ -250,9 +250,9 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(members: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of over-full groups' members that may link different components.
+    """Pairs (a, b) of over-full groups' members (gid: the region of their pivot) that may link different components.
 
-    In each group all but the most frequent component's members are queries. A shingle
+    In each region all but the most frequent component's members are queries. A shingle
     that no other member holds is out of the intersection, which rules out most pairs; of
     two linked sets the rarest shingles, as many as each may lack and one more, meet.
     """
@@ -315,17 +315,19 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int
     members = cut(big.join(crowd.where("dense"), "a").select("gid", "a", "crowded"))
     # the member of most over-full groups is likely central, and the pivot of all of them
     pivots = cut(members.groupBy("gid").agg(F.max_by("a", F.struct("crowded", "a")).alias("b")))
-    spokes = members.join(pivots, "gid").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # groups of one pivot are one region
+    regions = cut(members.join(pivots, "gid").select(F.col("b").alias("gid"), "a").distinct())
+    spokes = regions.where("a <> gid").select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b"))
     pairs = cut(pairs.union(spokes).distinct())
-    nodes = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).union(members.select("a")).distinct()
+    nodes = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).union(regions.select("a")).distinct()
     nodes = cut(nodes.join(classes.select("a", "least"), "a"))
     texts = rows.join(nodes.select(F.col("least").alias("id"), "a"), "id").select("a", "text")
     sets = texts.mapInArrow(_blobs_of_sets(k), "a binary, shingles binary").dropDuplicates(["a"])
     sets = cut(sets.join(nodes, "a").select("a", "shingles", "least"))
     links = cut(_verified(pairs, sets, num, den))
     found = components(links)
-    if not members.isEmpty():
-        more = _verified(_across(members, sets, found, num, den), sets, num, den)
+    if not regions.isEmpty():
+        more = _verified(_across(regions, sets, found, num, den), sets, num, den)
         found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(cut(more)))
     named = classes.join(found.withColumnRenamed("node", "least"), "least", "left").select("a", F.coalesce("component", "least").alias("component"))
     named = cut(named)
