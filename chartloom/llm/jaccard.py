@@ -41,7 +41,7 @@ def region(b: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.nd
     """(parts, parts that may be empty without being signed) of the regions of shells b and b+1."""
     most = 2 * (bounds[b + 2] - 1)  # b counts from -1
     differ = (den - num) * most // (den + num)
-    spare = 2 + differ // 32
+    spare = 2 + differ // 12
     return differ + 1 + spare, spare
 
 
