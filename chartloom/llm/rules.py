@@ -2,7 +2,9 @@
 
 Rules vote for or against a document or abstain. Expectation-maximisation over the counts
 of vote patterns estimates, for each rule, how often it votes either way on good and on
-bad documents, and each pattern's posterior probability of good quality decides.
+bad documents, and each pattern's posterior probability of good quality decides. A rule
+may be found to be noise, so that its vote alone does not reject, or to see a kind of junk
+that no other rule sees.
 """
 
 from __future__ import annotations
@@ -15,10 +17,8 @@ from pyspark.sql import functions as F
 from chartloom.llm.common import SPACES, cut, let, words_of
 
 RULES = ("symbols", "capitals", "exclaims", "lines", "repeats", "stutter", "endings")
-#: A rule's vote against is taken to be rarer on good documents by this factor at least.
-EVIDENCE = 200
-#: A vote for a document says that one kind of junk is absent: it is taken to be more frequent on good ones by this factor at most.
-COMFORT = 1.3
+#: With nothing to tell noise by, the share of a rule's lone votes against that is taken for noise; weighs as one document.
+SOUND = 0.25
 
 
 def _repeated(words: Column) -> Column:
@@ -99,41 +99,76 @@ def votes() -> list[Column]:
     ]
 
 
+def own_kinds(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, float]:
+    """For rules that see a kind of junk of their own, the share of their lone votes against that it explains.
+
+    If there were but good and bad documents, a rule would vote against documents that
+    others vote against as often as the rest, if it is noise, or more often. What it votes
+    against the rest more often than that is junk that no other rule sees. One
+    pseudo-document, at ``SOUND``, decides where others vote against nothing.
+    """
+    found = {}
+    for j in range(len(patterns[0][0]) if patterns else 0):
+        n = {(others, own): 0.0 for others in (True, False) for own in (True, False)}
+        for v, count in patterns:
+            if v[j]:
+                n[-1 in v[:j] + v[j + 1 :], v[j] == -1] += count
+        alone = (n[False, True] + 0.5) / (n[False, True] + n[False, False] + 1)
+        beside = (n[True, True] + SOUND * alone) / (n[True, True] + n[True, False] + 1)
+        if beside < alone:
+            found[j] = 1 - beside / alone
+    return found
+
+
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prior: float = 0.8) -> tuple[dict, list[dict]]:
-    """Posteriors of good quality by vote pattern, and each rule's vote rates by class.
+    """Posteriors of good quality by vote pattern, and each rule's vote rates by class (1 good, 0 bad).
 
     ``patterns``: (votes, documents), at most 3 ** rules of them whatever the corpus, so
-    they fit the driver. Starts from the patterns without a vote against as good. Every
-    rate has one pseudo-count; a vote against is rarer on good than on bad
-    documents, by ``EVIDENCE`` at least, and one for
-    it is worth ``COMFORT`` at most, which keeps the classes from changing places.
+    they fit the driver. The start alone tells the classes apart: patterns without a vote
+    against are good. No rate is bounded; each has one pseudo-count. Besides the bad
+    documents there is a class of junk for each of ``own_kinds``: its rule votes against
+    it, the others vote on it as on good documents. Its share and the rule's rate against
+    good documents part one pseudo-count as they part the rule's lone votes at the start.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
-    good = {v: (0.95 if -1 not in v and 1 in v else prior if -1 not in v else 0.02) for v, _ in patterns}
+    own = own_kinds(patterns)
+    classes = [1, 0, *(2 + j for j in own)]
+    of_class: dict[tuple[int, ...], dict[int, float]] = {}
+    for v, _ in patterns:
+        good = 0.95 if -1 not in v and 1 in v else prior if -1 not in v else 0.02
+        of_class[v] = dict.fromkeys(classes, 0.0) | {1: good, 0: 1 - good}
+        lone = v.index(-1) if v.count(-1) == 1 else None
+        if lone in own:
+            of_class[v] |= {1: 1 - own[lone], 0: 0.0, 2 + lone: own[lone]}
     rates: list[dict] = []
+    total = sum(n for _, n in patterns)
+    pseudo = {1: prior, 0: 1 - prior} | {2 + j: s for j, s in own.items()}
     for _ in range(rounds):
-        total = sum(n for _, n in patterns)
-        share = (sum(good[v] * n for v, n in patterns) + prior) / (total + 1)
+        share = {c: (sum(of_class[v][c] * n for v, n in patterns) + pseudo[c]) / (total + sum(pseudo.values())) for c in classes}
         rates = []
         for j in range(n_rules):
             of = {}
             for kind in (1, 0):
-                mass = {x: 1.0 for x in (-1, 0, 1)}
+                mass = {-1: 1 - own.get(j, 0.0) if kind else 1.0, 0: 1.0, 1: 1.0}
+                alike = [0] if kind == 0 else [c for c in classes if c not in (0, 2 + j)]
                 for v, n in patterns:
-                    mass[v[j]] += n * (good[v] if kind else 1 - good[v])
+                    mass[v[j]] += n * sum(of_class[v][c] for c in alike)
                 whole = sum(mass.values())
                 of[kind] = {x: m / whole for x, m in mass.items()}
-            of[1][-1] = min(of[1][-1], of[0][-1] / EVIDENCE)
-            of[0][1] = max(of[0][1], of[1][1] / COMFORT)
             rates.append(of)
-        before = good
-        good = {}
+        before = of_class
+        of_class = {}
         for v, _ in patterns:
-            odds = math.log(share / (1 - share)) + sum(math.log(rates[j][1][x] / rates[j][0][x]) for j, x in enumerate(v) if x)
-            good[v] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
-        if max((abs(good[v] - before[v]) for v in good), default=0) < 1e-9:
+            log = {}
+            for c in classes:
+                if c < 2 or v[c - 2] == -1:  # a vote against is certain on junk of a rule's own
+                    log[c] = math.log(share[c]) + sum(math.log(rates[j][min(c, 1)][x]) for j, x in enumerate(v) if x and j != c - 2)
+            most = max(log.values())
+            whole = sum(math.exp(x - most) for x in log.values())
+            of_class[v] = {c: math.exp(log[c] - most) / whole if c in log else 0.0 for c in classes}
+        if max((abs(of_class[v][1] - before[v][1]) for v in of_class), default=0) < 1e-9:
             break
-    return good, rates
+    return {v: p[1] for v, p in of_class.items()}, rates
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -152,6 +152,25 @@ def test_estimation_recovers_rates():
     assert rules.estimate([]) == ({}, [])
 
 
+def test_a_noisy_rule_does_not_reject_alone():
+    def drawn(noise, own):
+        r = random.Random(11)
+        patterns = collections.Counter()
+        for _ in range(20_000):
+            bad = r.random() < 0.1
+            alone = not bad and r.random() < own  # junk that the first rule alone sees
+            patterns[-1 if alone or r.random() < noise else 1, *(-1 if r.random() < (0.6 if bad else 0.01) else 1 for _ in range(6))] += 1
+        return sorted(patterns.items())
+
+    lone, others = (-1, 1, 1, 1, 1, 1, 1), (1, -1, -1, -1, 1, 1, 1)
+    for noise in (0.03, 0.1, 0.3):
+        posterior, rates = rules.estimate(drawn(noise, 0.0))
+        assert posterior[lone] > 0.9 and posterior[others] < 0.1 and abs(rates[0][1][-1] - noise) < 0.02
+    posterior, _ = rules.estimate(drawn(0.0, 0.07))
+    assert posterior[lone] < 0.5 and posterior[others] < 0.1 and posterior[(1,) * 7] > 0.9
+    assert rules.estimate([((-1, 1), 5), ((1, 1), 95)])[0][-1, 1] < 0.5  # nothing to tell noise by
+
+
 def test_rules_and_classifier_keep_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
