@@ -16,7 +16,8 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
     A k-mer is chosen if the least hash of its s-word substrings is that of its first or
     its last one: a test of the k-mer alone, so that equal passages have equal anchors
-    whatever stands around them. Texts of 1 to k-1 words have one anchor, of all words.
+    whatever stands around them. Texts with words but without a chosen k-mer, as all of
+    1 to k-1 words, have one anchor, of all words.
     """
     last = k - s
 
@@ -30,7 +31,8 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
         whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))
         none = F.filter(whole, lambda x: F.lit(False))
-        return F.when(F.size(h) == 0, none).when(F.size(h) < k, whole).otherwise(let(inner, pick))
+        some = lambda x: F.when(F.size(x) == 0, whole).otherwise(x)
+        return F.when(F.size(h) == 0, none).when(F.size(h) < k, whole).otherwise(let(let(inner, pick), some))
 
     return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), chosen)
 

@@ -99,6 +99,15 @@ def test_anchors_do_not_depend_on_their_surroundings(spark):
     assert shared == {p - 50 + 4: h for p, h in a.items() if 50 <= p <= 146} and len(shared) > 30
 
 
+def test_every_text_with_words_has_an_anchor(spark):
+    texts = [" ".join(f"w{n}x{i}x{j}" for j in range(n)) for n in range(1, 9) for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", syncmers.sketch(F.col("text")).alias("marks"))
+    marks = {r.text: tuple(r.marks) for r in df.collect()}
+    assert all(marks.values()) and len(set(marks.values())) == len(texts)
+    pairs = spark.createDataFrame([(a, b) for a, b in zip(texts[180:239], texts[181:240], strict=True)], "a string, b string")
+    assert {x[0] for x in pairs.select(syncmers.likeness(syncmers.sketch(F.col("a")), syncmers.sketch(F.col("b")))).collect()} == {0.0}
+
+
 def test_single_document_is_its_own_next(spark):
     (r,) = syncmers.fingerprints(spark.createDataFrame([(3, "abcdefgh")], "doc_id long, text string")).collect()
     assert r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r.near_next == 1
