@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import NULL_ID, cut, key_of, keyed_partitions, partitions
+from chartloom.llm.common import NULL_ID, WORD, cut, key_of, keyed_partitions, partitions
 from chartloom.llm.graph import components
 from chartloom.llm.hashing import Texts, U, between, blocks, fitting, inside, join48, mix, pack, prefix, split48, unpack
 
@@ -93,13 +93,14 @@ def signatures(values: np.ndarray, of: np.ndarray, sizes: np.ndarray, num: int,
 
 
 def _signed(k: int, num: int, den: int, keys: list[int]):
-    """Blocks of (id, text) to (key, blob): documents and signatures, dealt to partitions."""
+    """Blocks of (id, text hash, text) to (key, blob): documents and signatures, dealt to partitions."""
     n_parts = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, BLOCK):
             ids = np.array([r[0] for r in rows], np.int64)
-            sets = Sets([r[1] for r in rows], k)
+            hashes = np.array([r[1] for r in rows], np.int64)
+            sets = Sets([r[2] for r in rows], k)
             _, first = np.unique(sets.names[:, 0], return_index=True)
             first = np.sort(first[sets.sizes[first] > 0])  # equal sets of a block sign once
             new = np.full(len(ids), -1)
@@ -112,7 +113,7 @@ def _signed(k: int, num: int, den: int, keys: list[int]):
             to = (sig % U(n_parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(n_parts + 1))
-            doc_to = (mix(ids.astype(U), 31) % U(n_parts)).astype(np.int64)
+            doc_to = (mix((ids ^ hashes).astype(U), 31) % U(n_parts)).astype(np.int64)
             out = []
             for p in range(n_parts):
                 mine = order[cuts[p] : cuts[p + 1]]
@@ -122,7 +123,7 @@ def _signed(k: int, num: int, den: int, keys: list[int]):
                 used, local = np.unique(owner[mine], return_inverse=True)
                 used = first[used]
                 out.append(pack([
-                    ("<i8", ids[docs]), ("<i8", sets.sizes[docs]), ("<u8", sets.names[docs].ravel()),
+                    ("<i8", ids[docs]), ("<i8", hashes[docs]), ("<i8", sets.sizes[docs]), ("<u8", sets.names[docs].ravel()),
                     ("<u8", sets.names[used].ravel()), *split48(sig[mine] // U(n_parts)), (fitting(local), local), ("u1", need[mine]),
                 ]))
                 out[-1] = (keys[p], out[-1])
@@ -156,9 +157,9 @@ def _met(small: int):
         held: list[list[np.ndarray]] = []
         for batch in batches:
             for blob in batch.column(1):
-                ids, sizes, names, *rest = unpack(blob.as_py())
+                ids, hashes, sizes, names, *rest = unpack(blob.as_py())
                 if len(ids):
-                    yield _rows(0, len(ids), id=ids, n=sizes, a=names.reshape(-1, 2))
+                    yield _rows(0, len(ids), id=ids, n=sizes, m=hashes, a=names.reshape(-1, 2))
                 held.append(rest)
         if not held:
             return
@@ -231,12 +232,12 @@ def _similar(num: int, den: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, as their classes' least documents (a, b long)."""
+    """The pairs (a, b) whose sets are similar enough, as their classes' nodes (a, b long)."""
     left = sets.select("a", F.col("shingles").alias("x"))
     right = sets.select(F.col("a").alias("b"), F.col("shingles").alias("y"))
     linked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(num, den), "a binary, b binary")
-    least = sets.select("a", "least")
-    linked = linked.join(least.withColumnRenamed("least", "ra"), "a").join(least.select(F.col("a").alias("b"), F.col("least").alias("rb")), "b")
+    nodes = sets.select("a", "node")
+    linked = linked.join(nodes.withColumnRenamed("node", "ra"), "a").join(nodes.select(F.col("a").alias("b"), F.col("node").alias("rb")), "b")
     return linked.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
@@ -256,8 +257,7 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, num: int, den
     that no other member holds is out of the intersection, which rules out most pairs; of
     two linked sets the rarest shingles, as many as each may lack and one more, meet.
     """
-    part = found.select(F.col("node").alias("least"), "component")
-    nodes = sets.join(members.select("a").distinct(), "a").join(part, "least", "left").withColumn("component", F.coalesce("component", "least"))
+    nodes = sets.join(members.select("a").distinct(), "a").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = cut(nodes.select("a", "shingles", "component"))
     placed = members.select("gid", "a").join(nodes.select("a", "component"), "a")
     counts = placed.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -282,6 +282,11 @@ def _across(members: DataFrame, sets: DataFrame, found: DataFrame, num: int, den
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _hashed(docs: DataFrame) -> tuple[Column, Column]:
+    """The id and the hash of the text that tell documents of one id apart."""
+    return key_of(docs["doc_id"]), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row.
 
@@ -292,16 +297,33 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int
 
     Null and empty texts, and those of white space, have no shingles and link with
     nothing. Repeated rows, also of one doc_id, are documents with equal texts. A null
-    doc_id counts as the least; a component that holds it has component_id null. Empty
+    doc_id counts as the least; a component that holds it has component_id null. Different
+    texts of one doc_id, null or not, are documents of their own and link by their texts
+    only; components with the same least doc_id have the same component_id. Empty
     tables give no rows. Columns beyond doc_id and text are ignored.
     """
+    doc, _, named = _components(docs, k, num, den, small)
+    out = doc.join(named.drop("main"), "a", "left").withColumn("component", F.coalesce("component", "id"))
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, n, a: the name of their set), classes (a, least, hash), components (a, component, main).
+
+    A class's least document is the one of least id and then least hash of its text. Of a
+    component's classes ``main`` names that of least id, and then least name; ``component``
+    is its least id.
+    """
     spark = docs.sparkSession
     keys = keyed_partitions(spark, partitions(spark))
-    rows = docs.select(key_of(F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    key, hash_ = _hashed(docs)
+    rows = docs.select(key.alias("id"), hash_.alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
     met = rows.mapInArrow(_signed(k, num, den, keys), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_met(small), _OUT)
     met = cut(met)
-    doc = met.where("kind = 0").select("id", "n", "a")
-    classes = cut(doc.where("n > 0").groupBy("a").agg(F.min("id").alias("least"), F.first("n").alias("size")))
+    doc = met.where("kind = 0").select("id", "n", F.col("m").alias("hash"), "a")
+    classes = doc.where("n > 0").groupBy("a").agg(F.min(F.struct("id", "hash")).alias("first"))
+    classes = cut(classes.select("a", F.col("first.id").alias("least"), F.col("first.hash").alias("hash")))
     big = met.where("kind = 2").select(F.col("id").alias("gid"), "a", F.col("n").alias("side"), F.col("m").alias("need"))
     # a pair's equal parts lie in small groups, which have counted them, or in as many over-full ones as both are in;
     # dense members of a common over-full group are joined there, others have all their equal parts in small groups
@@ -320,29 +342,34 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int
     spokes = regions.where("a <> gid").select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b"))
     pairs = cut(pairs.union(spokes).distinct())
     nodes = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).union(regions.select("a")).distinct()
-    nodes = cut(nodes.join(classes.select("a", "least"), "a"))
-    texts = rows.join(nodes.select(F.col("least").alias("id"), "a"), "id").select("a", "text")
+    # numbers in the order of least ids, so that a component's least number stands for its least id
+    nodes = cut(nodes.join(classes, "a").orderBy("least", "a").withColumn("node", F.monotonically_increasing_id()))
+    texts = rows.join(nodes.select(F.col("least").alias("id"), "hash", "a"), ["id", "hash"]).select("a", "text")
     sets = texts.mapInArrow(_blobs_of_sets(k), "a binary, shingles binary").dropDuplicates(["a"])
-    sets = cut(sets.join(nodes, "a").select("a", "shingles", "least"))
+    sets = cut(sets.join(nodes, "a").select("a", "shingles", "node"))
     links = cut(_verified(pairs, sets, num, den))
     found = components(links)
     if not regions.isEmpty():
         more = _verified(_across(regions, sets, found, num, den), sets, num, den)
         found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(cut(more)))
-    named = classes.join(found.withColumnRenamed("node", "least"), "least", "left").select("a", F.coalesce("component", "least").alias("component"))
-    named = cut(named)
-    out = doc.join(named, "a", "left").withColumn("component", F.coalesce("component", "id"))
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    mains = nodes.select(F.col("node").alias("component"), F.col("a").alias("main"), F.col("least").alias("id"))
+    linked = found.join(nodes.select("node", "a"), "node").join(mains, "component").select("a", "main", "id")
+    named = classes.join(linked, "a", "left").select("a", F.coalesce("id", "least").alias("component"), F.coalesce("main", "a").alias("main"))
+    return doc.drop("hash"), classes, cut(named)
 
 
 def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component of links the least doc_id stays.
 
-    Documents without words link with nothing and stay. Of rows that share a doc_id one
-    stays, that with the least hash of its text.
+    Documents without words link with nothing and stay. Different texts of one doc_id, null
+    or not, are documents of their own. Of a component's rows of the least doc_id one
+    stays: of its least set by name the least hash of the text, then of the whole row.
     """
-    found = join(docs, k, num, den).where("component_id <=> doc_id").select(key_of(F.col("doc_id")).alias("__key")).distinct()
-    rows = docs.withColumn("__key", key_of(F.col("doc_id"))).join(cut(found), "__key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))
-    return rows.withColumn("__first", first).where("__first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, classes, named = _components(docs, k, num, den, SMALL)
+    firsts = classes.join(named, "a").where("a = main").select(F.col("least").alias("__key"), F.col("hash").alias("__hash"))
+    key, hash_ = _hashed(docs)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    rows = docs.withColumns({"__key": key, "__hash": hash_, "__row": F.xxhash64(*columns)}).where(words).join(cut(firsts), ["__key", "__hash"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__row"))
+    return rows.withColumn("__first", first).where("__first = 1").select(*columns).unionByName(docs.where(~words))

@@ -52,6 +52,22 @@ def test_one_of_each_group_stays(docs, rows):
     assert sorted(LEAST if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    prose = lambda name, n=60: [f"{name}{i}" for i in range(n)]
+    near = lambda words, i: " ".join([*words[:i], "changed", *words[i + 1 :]])
+    clean = [(i, " ".join(prose(f"c{j}x")), j) for j, i in enumerate([None] * 12 + [7] * 12)]
+    copies = [(i, near(prose("p"), 59 - j % 2), j) for j, i in enumerate([None, None, 7, 7, 9, 9])] + [(4, near(prose("q"), 59), 0), (7, " ".join(prose("q")), 1)]
+    df = spark.createDataFrame([*clean, *copies, (None, "", 1), (None, None, 2), (None, " ", 3)], "doc_id long, text string, nr long").repartition(3)
+    kept = sorted(((r.doc_id, r.text, r.nr) for r in jaccard.distinct(df).collect()), key=str)
+    p = [r for r in kept if r[1] and r[1].startswith("p0 ")]
+    assert len(p) == 1 and p[0][0] is None
+    assert [r for r in kept if r not in p] == sorted([*clean, copies[6], (None, "", 1), (None, None, 2), (None, " ", 3)], key=str)
+    for r in jaccard.join(df).collect():
+        assert (r.doc_id, r.component_id) in {(None, None), (7, 7), (7, None), (9, None), (4, 4), (7, 4)}
+    found = [(r.doc_id, r.component_id) for r in jaccard.join(df).collect()]
+    assert (found.count((7, 7)), found.count((7, None)), found.count((9, None)), found.count((7, 4))) == (12, 2, 2, 1)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, j) for j in range(2, 90)] + [(7, 7), (500, 400), (400, 500)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
