@@ -18,13 +18,20 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that the session names, and read from there.
 
     A lost executor then costs a read, not the computation. Only where no folder is
-    configured (tests, one machine) a temporary one is set.
+    configured and all runs on one machine (tests) a temporary one is set.
+
+    The frame read back has no estimate of its size: a checkpoint keeps that of its plan,
+    which multiplies with every join and takes minutes to compute after a few dozen rounds.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chartloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,15 +1,19 @@
 """Exact join of documents by Jaccard similarity of their word n-grams, as components of links.
 
-The symmetric difference of two sets is a metric, and of two linked sets it is at most
-(1 - t) / (1 + t) of their sizes together. The empty document is the pivot of all: a set's
-size is its distance from it. Sizes fall into shells so wide that, by the triangle
-inequality, linked sets lie in the same shell or in neighbouring ones; each document is
-replicated to the region of its shell and the next and to that of the one before. Within a
-region the distance is split over parts of the shingle universe: with one part more than
-linked sets can differ in, one part at least is equal, and sets meet by equal parts only.
-Groups that are over-full even so get pivots of their own: distances to the group's pivot
-merge what lies within the radius into one component, and only the members of other
-components are joined further, by their rarest shingles.
+The Jaccard distance is a metric, but nearly all documents are at distance 1 from nearly all
+others: pivots drawn from all documents have every document on the boundary of every region.
+So documents without a possible partner are set aside first. Of a set's shingles in the order
+of their hashes, the first ones, as many as a linked set may lack and a tenth of the set, have
+so many in common with each linked set; a set too few of whose first shingles stand in other
+sets' links with nothing. What is left is held against all its shingles in the same way, and
+is placed at its rarest ones: two linked sets meet in at least one place.
+
+Each place gives its documents a pivot, and each document takes for its region that of the
+pivot it meets most often. Distances to pivots are computed: what lies within the radius is
+in one component with the pivot; what lies beyond is on the boundary and goes on to new pivots
+of other components, region by region and round by round. In the end only documents that
+share a place, lie in different components and, by the triangle inequality from the pivot of
+their region, may be near are compared one by one.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,24 +30,10 @@ from chartloom.llm.common import NULL_ID, WORD, cut, key_of, keyed_partitions, p
 from chartloom.llm.graph import components
 from chartloom.llm.hashing import Texts, U, between, blocks, fitting, inside, join48, mix, pack, prefix, split48, unpack
 
-#: Bytes of text handled at once; members up to which a group is compared pair by pair.
-BLOCK, SMALL = 6_000_000, 48
-
-
-def shells(num: int, den: int) -> np.ndarray:
-    """The least size of each shell: linked sets' shells differ by one at most."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * den // num + 1)
-    return np.array(out, np.int64)
-
-
-def region(b: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, parts that may be empty without being signed) of the regions of shells b and b+1."""
-    most = 2 * (bounds[b + 2] - 1)  # b counts from -1
-    differ = (den - num) * most // (den + num)
-    spare = 2 + differ // 12
-    return differ + 1 + spare, spare
+#: Bytes of text handled at once; the share of a set, one in so many, by which its first shingles exceed what a linked set may lack.
+BLOCK, TENTH = 6_000_000, 10
+#: Rounds of pivots, at most; pairs for each place of a document that are few enough to be compared.
+ROUNDS, FEW = 8, 2
 
 
 class Sets:
@@ -69,217 +60,312 @@ class Sets:
             np.add.at(self.names[:, j], self.of, mix(self.values, 11 + j))
         self.names = mix(self.names + self.sizes[:, None].astype(U))
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a text of each set that is not empty, the set's number for each text or -1, the set's number for each value or -1 if another text has brought it)."""
+        _, first, same = np.unique(self.names, axis=0, return_index=True, return_inverse=True)
+        chosen = np.sort(first[self.sizes[first] > 0])
+        own = np.full(len(self.sizes), -1)
+        own[chosen] = np.arange(len(chosen))
+        return chosen, own[first[same.ravel()]], own[self.of]
 
-def signatures(values: np.ndarray, of: np.ndarray, sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(signature, set, parts that a linked set shares at least) for both regions of each set; sizes are above 0."""
-    bounds = shells(num, den)
-    shell = np.searchsorted(bounds, sizes, side="right") - 1
-    for back in (1, 0):
-        b = shell - back
-        parts, spare = region(b, bounds, num, den)
-        at = np.concatenate([[0], np.cumsum(parts)])
-        salt = mix(b.astype(U), 21)
-        part = (mix(values ^ salt[of]) % parts[of].astype(U)).astype(np.int64) + at[of]
-        sums = np.zeros(at[-1], U)
-        np.add.at(sums, part, mix(values, 22))
-        filled = np.bincount(part, minlength=at[-1]) > 0
-        owner = np.repeat(np.arange(len(sizes)), parts)
-        empty = np.bincount(owner[~filled], minlength=len(sizes))
-        signed = filled | (empty > spare)[owner]
-        own = np.flatnonzero(signed)
-        number = (own - at[owner[own]]).astype(U)
-        need = np.maximum(1, spare + 1 - empty)
-        yield mix(sums[own] + mix(number ^ salt[owner[own]], 23)), owner[own], need[owner[own]]
 
+def least_shared(n, num: int, den: int):
+    """How many of its ``n`` shingles a set shares at least with each set that it links with."""
+    return (n * num + den - 1) // den
 
-def _signed(k: int, num: int, den: int, keys: list[int]):
-    """Blocks of (id, text hash, text) to (key, blob): documents and signatures, dealt to partitions."""
-    n_parts = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in blocks(batches, BLOCK):
-            ids = np.array([r[0] for r in rows], np.int64)
-            hashes = np.array([r[1] for r in rows], np.int64)
-            sets = Sets([r[2] for r in rows], k)
-            _, first = np.unique(sets.names[:, 0], return_index=True)
-            first = np.sort(first[sets.sizes[first] > 0])  # equal sets of a block sign once
-            new = np.full(len(ids), -1)
-            new[first] = np.arange(len(first))
-            chosen = new[sets.of] >= 0
-            found = list(signatures(sets.values[chosen], new[sets.of[chosen]], sets.sizes[first], num, den)) if len(first) else []
-            sig = np.concatenate([f[0] for f in found]) if found else np.zeros(0, U)
-            owner = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-            need = np.concatenate([np.minimum(f[2], 127) * 2 + i for i, f in enumerate(found)]) if found else np.zeros(0, np.int64)
-            to = (sig % U(n_parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(n_parts + 1))
-            doc_to = (mix((ids ^ hashes).astype(U), 31) % U(n_parts)).astype(np.int64)
-            out = []
-            for p in range(n_parts):
-                mine = order[cuts[p] : cuts[p + 1]]
-                docs = np.flatnonzero(doc_to == p)
-                if not len(mine) and not len(docs):
-                    continue
-                used, local = np.unique(owner[mine], return_inverse=True)
-                used = first[used]
-                out.append(pack([
-                    ("<i8", ids[docs]), ("<i8", hashes[docs]), ("<i8", sets.sizes[docs]), ("<u8", sets.names[docs].ravel()),
-                    ("<u8", sets.names[used].ravel()), *split48(sig[mine] // U(n_parts)), (fitting(local), local), ("u1", need[mine]),
-                ]))
-                out[-1] = (keys[p], out[-1])
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["key", "blob"])
+def beyond(n):
+    """By how many a set's first shingles exceed those that a linked set may lack."""
+    return np.maximum(1, n // TENTH)
 
-    return run
+
+def first_ones(values: np.ndarray, of: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which values (sorted within each set) are among the first shingles of their set.
+
+    Let two sets share ``c`` shingles. Of these the first ``j`` have at most the ``n - c``
+    others before them, so they stand among the first ``n - c + j`` of both sets; and ``c``
+    is ``least_shared`` or more for either.
+    """
+    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return np.arange(len(values)) - start[of] < (sizes - least_shared(sizes, num, den) + beyond(sizes))[of]
 
 
-_OUT = "kind int, id long, a binary, b binary, n long, m long"
-_ARROW = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_OUT = "kind int, key long, id long, hash long, n long, m long, a binary"
+_ARROW = [("key", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("a", pa.binary())]
 
 
 def _rows(kind: int, rows: int, **columns) -> pa.RecordBatch:
     """Rows of ``_OUT``; names are pairs of numbers, written as 16 bytes."""
     arrays = [pa.array(np.full(rows, kind, np.int32))]
-    for name, arrow in zip(("id", "a", "b", "n", "m"), _ARROW[1:], strict=True):
+    for name, arrow in _ARROW:
         x = columns.get(name)
         if x is None:
             arrays.append(pa.nulls(rows, arrow))
         elif arrow == pa.binary():
             arrays.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), rows, [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary()))
         else:
-            arrays.append(pa.array(x.astype(np.int64)))
-    return pa.RecordBatch.from_arrays(arrays, names=["kind", "id", "a", "b", "n", "m"])
+            arrays.append(pa.array(x.astype(np.uint64).view(np.int64) if x.dtype == U else x.astype(np.int64)))
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", *[name for name, _ in _ARROW]])
 
 
-def _met(small: int):
-    """Blobs of one partition to documents (0), pairs with shared and needed parts (1), members of over-full groups (2)."""
+def _dealt(keys: list[int], to: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(partition, its key, what goes there) for each partition that gets something."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(len(keys) + 1))
+    for p in range(len(keys)):
+        yield p, keys[p], order[cuts[p] : cuts[p + 1]]
+
+
+def _blobs(rows: list[tuple], names: tuple[str, ...] = ("key", "blob")) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * (len(names) - 1), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=list(names))
+
+
+def _signed(k: int, num: int, den: int, keys: list[int]):
+    """Blocks of (id, text hash, text) to (key, blob): documents, sets and first shingles, dealt to partitions.
+
+    A shingle that several sets of the block hold is known to be shared: it is sent once,
+    for no set, and counted here. So a frequent shingle brings its partition one entry a block.
+    """
+    parts = U(len(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            for blob in batch.column(1):
-                ids, hashes, sizes, names, *rest = unpack(blob.as_py())
-                if len(ids):
-                    yield _rows(0, len(ids), id=ids, n=sizes, m=hashes, a=names.reshape(-1, 2))
-                held.append(rest)
-        if not held:
-            return
-        table = np.concatenate([h[0].reshape(-1, 2) for h in held])
-        base = np.concatenate([[0], np.cumsum([len(h[0]) // 2 for h in held])])
-        sig = np.concatenate([join48(h[1], h[2]) for h in held])
-        node = np.concatenate([h[3].astype(np.int64) + base[i] for i, h in enumerate(held)])
-        need = np.concatenate([h[4] for h in held])
-        del held
-        _, first, same = np.unique(table[:, 0], return_index=True, return_inverse=True)  # equal sets of several blocks are one node
-        table, node = table[first], same.ravel()[node]
-        order = np.lexsort((node, sig))
-        sig, node, need = sig[order], node[order], need[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, need = sig[fresh], node[fresh], need[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-        sizes = np.diff(np.concatenate([starts, [len(sig)]]))
-        xs, ys, needs = [], [], []
-        for gap in range(1, small):  # within small groups, each member with the one ``gap`` places on
-            ok = (sizes > gap) & (sizes <= small)
-            if not ok.any():
-                continue
-            count = sizes[ok] - gap
-            i = np.repeat(starts[ok] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            xs.append(node[i])
-            ys.append(node[i + gap])
-            needs.append(np.maximum(need[i] // 2, need[i + gap] // 2) * 2 + need[i] % 2)
-        if xs:
-            x, y, want = np.concatenate(xs), np.concatenate(ys), np.concatenate(needs).astype(np.int64)
-            pair = (x * len(table) + y) * 2 + want % 2
-            distinct, at, count = np.unique(pair, return_index=True, return_counts=True)
-            for s in range(0, len(distinct), 100_000):
-                i = at[s : s + 100_000]
-                yield _rows(1, len(i), a=table[x[i]], b=table[y[i]], n=count[s : s + 100_000], m=want[i] // 2)
-        big = np.repeat(sizes > small, sizes)
-        if big.any():
-            members = np.flatnonzero(big)
-            for s in range(0, len(members), 100_000):
-                i = members[s : s + 100_000]
-                yield _rows(2, len(i), id=sig[i].view(np.int64), a=table[node[i]], n=need[i] % 2, m=need[i] // 2)
+        for rows in blocks(batches, BLOCK):
+            ids = np.array([r[0] for r in rows], np.int64)
+            hashes = np.array([r[1] for r in rows], np.int64)
+            sets = Sets([r[2] for r in rows], k)
+            first, number, of = sets.distinct()
+            values, of, sizes = sets.values[of >= 0], of[of >= 0], sets.sizes[first]
+            some = first_ones(values, of, sizes, num, den)
+            values, of = values[some], of[some]
+            order = np.argsort(values, kind="stable")
+            values, of = values[order], of[order]
+            again = np.zeros(len(values), bool)
+            again[1:] = values[1:] == values[:-1]
+            several = again.copy()
+            several[:-1] |= again[1:]
+            credit = np.bincount(of[several], minlength=len(first))
+            sent = np.flatnonzero(~again)
+            values, of = values[sent], np.where(several[sent], len(first), of[sent])
+            by_id = np.lexsort((hashes, ids))
+            known = number[by_id] >= 0
+            least = np.full(len(first), -1)
+            least[number[by_id][known][::-1]] = by_id[known][::-1]  # the first document of each set
+            docs = [rows_ for _, _, rows_ in _dealt(keys, (mix((ids ^ hashes).astype(U), 31) % parts).astype(np.int64))]
+            classes = [rows_ for _, _, rows_ in _dealt(keys, (sets.names[first, 0] % parts).astype(np.int64))]
+            out = []
+            for p, key, mine in _dealt(keys, (values % parts).astype(np.int64)):
+                doc, class_ = docs[p], classes[p]
+                if len(mine) or len(doc) or len(class_):
+                    used, local = np.unique(of[mine], return_inverse=True)
+                    held = used[used < len(first)]  # the last one may stand for several sets
+                    head = least[class_]
+                    out.append((key, pack([
+                        ("<i8", ids[doc]), ("<i8", hashes[doc]), ("<i8", sets.sizes[doc]), ("<u8", sets.names[doc].ravel()),
+                        ("<i8", ids[head]), ("<i8", hashes[head]), ("<i8", sets.sizes[head]), ("<i8", credit[class_]), ("<u8", sets.names[head].ravel()),
+                        ("<u8", sets.names[first[held], 0]), *split48(values[mine] // parts), (fitting(local), local),
+                    ])))
+            yield _blobs(out)
 
     return run
 
 
-def _blobs_of_sets(k: int):
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs of one partition to documents (0), sets of a block (1), and how many of a set's first shingles are shared (2)."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        for blob in batch.column(1):
+            ids, hashes, sizes, names, own_ids, own_hashes, own_sizes, credit, own_names, *rest = unpack(blob.as_py())
+            if len(ids):
+                yield _rows(0, len(ids), id=ids, hash=hashes, m=sizes, a=names.reshape(-1, 2))
+            if len(own_ids):
+                own_names = own_names.reshape(-1, 2)
+                yield _rows(1, len(own_ids), key=own_names[:, 0], id=own_ids, hash=own_hashes, n=credit, m=own_sizes, a=own_names)
+            held.append(rest)
+    if not held:
+        return
+    shingle = np.concatenate([join48(h[1], h[2]) for h in held])
+    # the number of a set, 0 for several
+    name = np.concatenate([np.append(h[0], U(0))[h[3]] for h in held])
+    del held
+    order = np.lexsort((name, shingle))
+    shingle, name = shingle[order], name[order]
+    fresh = np.ones(len(shingle), bool)
+    fresh[1:] = (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1])
+    shingle, name = shingle[fresh], name[fresh]
+    new = np.ones(len(shingle), bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    group = np.cumsum(new) - 1
+    shared = (np.bincount(group) > 1)[group] & (name != 0) if len(group) else new
+    found, count = np.unique(name[shared], return_counts=True)
+    yield _rows(2, len(found), key=found, n=count)
+
+
+def _blocked(k: int):
+    """(a, text) to (block, blob): names, sizes and shingles of the sets of a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
         for rows in blocks(batches, BLOCK):
             sets = Sets([r[1] for r in rows], k)
-            cuts = np.searchsorted(sets.of, np.arange(len(rows) + 1))
-            values = [sets.values[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(rows))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array(values, pa.binary())], names=["a", "shingles"])
+            first, _, of = sets.distinct()
+            yield _blobs([(at, pack([("<u8", sets.names[first].ravel()), ("<i8", sets.sizes[first]), ("<u8", sets.values[of >= 0])]))], ("block", "blob"))
+            at += 1
 
     return run
 
 
-def _similar(num: int, den: int):
+def _counted(keys: list[int]):
+    """(block, blob) to (key, block, blob): the shingles of each block, with the number of its sets that hold them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            for block, blob in zip(*batch.columns, strict=True):
+                values, count = np.unique(unpack(blob.as_py())[2], return_counts=True)
+                rows = [(key, block.as_py(), pack([("<u8", values[mine]), (fitting(count), count[mine])])) for _, key, mine in _dealt(keys, (values % U(len(keys))).astype(np.int64)) if len(mine)]
+                yield _blobs(rows, ("key", "block", "blob"))
+
+    return run
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one partition to (block, blob): the shingles of each block that two sets or more hold, with their number."""
+    held = [(block.as_py(), *unpack(blob.as_py())) for batch in batches for block, blob in zip(batch.column(1), batch.column(2), strict=True)]
+    if not held:
+        return
+    values, back = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+    often = np.bincount(back, weights=np.concatenate([h[2] for h in held])).astype(np.int64)[back]
+    at = 0
+    for block, own, _ in held:
+        mine = often[at : at + len(own)]
+        at += len(own)
+        yield _blobs([(block, pack([("<u8", own[mine > 1]), ("<u4", np.minimum(mine[mine > 1], 2**32 - 1))]))], ("block", "blob"))
+
+
+_PLACES = "key long, shingle long, size long, core long"
+
+
+def _placed(num: int, den: int):
+    """(block, blob, often) to the places of sets: their rarest shingles, as many as a linked set may lack and one more.
+
+    A shingle that no other set holds is in no intersection. A set with too few others is gone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, often in zip(batch.column(1), batch.column(2), strict=True):
+                names, sizes, values = unpack(blob.as_py())
+                some = [unpack(x) for x in often.as_py()]
+                known, count = np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some]).astype(np.int64)
+                order = np.argsort(known)
+                known, count = known[order], count[order]
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                core = known[at] == values if len(known) else np.zeros(len(values), bool)
+                values, of, count = values[core], of[core], count[at[core]] if len(known) else count
+                cores = np.bincount(of, minlength=len(sizes))
+                places = cores - least_shared(sizes, num, den) + 1
+                order = np.lexsort((values, count, of))
+                values, of = values[order], of[order]
+                start = np.concatenate([[0], np.cumsum(cores)[:-1]])
+                chosen = np.arange(len(values)) - start[of] < places[of]
+                values, of = values[chosen], of[chosen]
+                arrays = [names.reshape(-1, 2)[of, 0].view(np.int64), values.view(np.int64), sizes[of], cores[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["key", "shingle", "size", "core"])
+
+    return run
+
+
+def _singled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, blob) to (key, shingles) of each set."""
+    for batch in batches:
+        for blob in batch.column(1):
+            names, sizes, values = unpack(blob.as_py())
+            raw, ends = values.tobytes(), (np.cumsum(sizes) * 8).tolist()
+            shingles = pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(names.reshape(-1, 2)[:, 0].view(np.int64)), shingles], names=["key", "shingles"])
+
+
+def _compared(num: int, den: int):
+    """(a, b, x, y) to (a, b, distance, linked)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far, linked = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(den * shared >= num * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                whole = len(x) + len(y) - shared
+                far.append(1 - shared / whole)
+                linked.append(den * shared >= num * whole)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, as their classes' nodes (a, b long)."""
-    left = sets.select("a", F.col("shingles").alias("x"))
-    right = sets.select(F.col("a").alias("b"), F.col("shingles").alias("y"))
-    linked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(num, den), "a binary, b binary")
-    nodes = sets.select("a", "node")
-    linked = linked.join(nodes.withColumnRenamed("node", "ra"), "a").join(nodes.select(F.col("a").alias("b"), F.col("node").alias("rb")), "b")
-    return linked.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+def _distances(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of nodes (a, b) with the distance of their sets, and whether they link."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_compared(num, den), "a long, b long, distance double, linked boolean"))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, blob, component in zip(*batch.columns, strict=True):
-            values = np.frombuffer(blob.as_py(), np.int64)
-            n = len(values)
-            columns = [pa.array([name.as_py()] * n, pa.binary()), pa.array(np.full(n, component.as_py())), pa.array(values), pa.array(np.full(n, n))]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "component", "shingle", "size"])
-
+def _regions(places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+    """(node, component) of the nodes that link with others; None if none does.
 
-def _across(members: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of over-full groups' members (gid: the region of their pivot) that may link different components.
-
-    In each region all but the most frequent component's members are queries. A shingle
-    that no other member holds is out of the intersection, which rules out most pairs; of
-    two linked sets the rarest shingles, as many as each may lack and one more, meet.
+    ``places``: node, shingle, size, core; ``sets``: node, shingles.
     """
-    nodes = sets.join(members.select("a").distinct(), "a").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = cut(nodes.select("a", "shingles", "component"))
-    placed = members.select("gid", "a").join(nodes.select("a", "component"), "a")
-    counts = placed.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = cut(counts.groupBy("gid").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    queries = cut(placed.join(main, "gid").where("component <> main").select("a").distinct())
-    shingles = cut(nodes.select("a", "shingles", "component").mapInArrow(_exploded, "a binary, component long, shingle long, size long"))
-    often = cut(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
-    shared = shingles.join(often, "shingle")
-    shared = shared.withColumn("core", F.count(F.lit(1)).over(Window.partitionBy("a")))  # what others hold too
-    shared = shared.where(F.col("core") * den >= F.col("size") * num)
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("often", "shingle")) + F.col("size") - F.col("core")
-    least = F.ceil(F.col("size") * num / den - 1e-9)
-    rare = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1)
-    rare = rare.groupBy("a", "component", "size", "core").agg(F.collect_set("shingle").alias("rare"))
-    rare = cut(rare)
-    mine = rare.join(queries, "a").withColumn("shingle", F.explode("rare"))
-    other = rare.select(*[F.col(c).alias(f"b_{c}") for c in ("component", "size", "core", "rare")], F.col("a").alias("b"), F.explode("rare").alias("b_shingle"))
+    radius = 1 - num / den + 1e-9
+    home = found = None
+    links = []
+    for turn in range(ROUNDS):
+        open_, left, all_ = _open(places, found)
+        if not left:
+            return found
+        if left <= FEW * all_:
+            break
+        # in a place all documents have one pivot, those of the pivot's own component none
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("pivot")
+        met = open_.join(open_.groupBy("shingle").agg(pivot), "shingle").where("component <> pivot.component").select("node", F.col("pivot.node").alias("pivot"))
+        met = met.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("met")).groupBy("node").agg(F.max_by("pivot", F.struct("met", "pivot")).alias("b"))
+        measured = _distances(met.select(F.col("node").alias("a"), "b"), sets, num, den)
+        home = measured if home is None else home.union(measured)
+        linked = measured.where("linked").select("a", "b")
+        if linked.isEmpty():
+            break
+        links = [linked] if found is None else [linked, found.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        found = components(links[0] if len(links) == 1 else links[0].union(links[1]))
+    open_, left, _ = _open(places, found)
+    if not left:
+        return found
+    member = open_.select("node", "shingle", "component", "size", "core")
+    if home is not None:  # regions: the nearest pivot of each document, and a pivot's own
+        nearest = home.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("r")).select(F.col("a").alias("node"), F.col("r.b").alias("pivot"), F.col("r.distance").alias("away"))
+        member = member.join(cut(nearest), "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "away": F.coalesce("away", F.lit(0.0))})
+    else:
+        member = member.withColumns({"pivot": F.col("node"), "away": F.lit(0.0)})
+    member = cut(member)
+    other = member.select(*[F.col(c).alias(f"b_{c}") for c in member.columns])
     most = F.least("core", "b_core")
-    near = (F.col("component") != F.col("b_component")) & (most * den >= (F.col("size") + F.col("b_size") - most) * num)
-    once = F.col("shingle") == F.array_min(F.array_intersect("rare", "b_rare"))  # of all that the two share one brings the pair
-    pairs = mine.join(other, (F.col("shingle") == F.col("b_shingle")) & near & once)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = (most * den >= (F.col("size") + F.col("b_size") - most) * num) & ((F.col("pivot") != F.col("b_pivot")) | (F.abs(F.col("away") - F.col("b_away")) <= radius))
+    pairs = member.join(other, (F.col("shingle") == F.col("b_shingle")) & (F.col("component") != F.col("b_component")) & (F.col("node") < F.col("b_node")) & near)
+    measured = _distances(pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, num, den)
+    linked = measured.where("linked").select("a", "b")
+    if linked.isEmpty():
+        return found
+    return components(linked if found is None else linked.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _open(places: DataFrame, found: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """(the places where several components meet, pairs of documents of different components in them, all places of documents)."""
+    rows = places.withColumn("component", F.col("node"))
+    if found is not None:
+        rows = places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = cut(rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("n * n > own"))
+    left, all_ = groups.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return rows.join(groups.select("shingle"), "shingle"), int(left), int(all_)
 
 
 def _hashed(docs: DataFrame) -> tuple[Column, Column]:
@@ -287,28 +373,29 @@ def _hashed(docs: DataFrame) -> tuple[Column, Column]:
     return key_of(docs["doc_id"]), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, small: int = SMALL) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row.
 
     Words are parted by white space and lower-cased (A-Z). Two documents link when the
     share of distinct k-word shingles that they have in common is num/den or more; with
-    fewer words all of them are the one shingle. Exact but for hash collisions: sets are
-    named by 128 bits and shingles by 64.
+    fewer words all of them are the one shingle. Exact but for hash collisions: shingles
+    have 64 bits, sets 128, and 64 where sets that share shingles are told apart.
 
     Null and empty texts, and those of white space, have no shingles and link with
     nothing. Repeated rows, also of one doc_id, are documents with equal texts. A null
     doc_id counts as the least; a component that holds it has component_id null. Different
     texts of one doc_id, null or not, are documents of their own and link by their texts
-    only; components with the same least doc_id have the same component_id. Empty
-    tables give no rows. Columns beyond doc_id and text are ignored.
+    only; components with the same least doc_id have the same component_id. A text of any
+    length is one set, held whole by one task. Empty tables give no rows. Columns beyond
+    doc_id and text are ignored.
     """
-    doc, _, named = _components(docs, k, num, den, small)
+    doc, _, named = _components(docs, k, num, den)
     out = doc.join(named.drop("main"), "a", "left").withColumn("component", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
 
 
-def _components(docs: DataFrame, k: int, num: int, den: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (id, n, a: the name of their set), classes (a, least, hash), components (a, component, main).
 
     A class's least document is the one of least id and then least hash of its text. Of a
@@ -319,43 +406,31 @@ def _components(docs: DataFrame, k: int, num: int, den: int, small: int) -> tupl
     keys = keyed_partitions(spark, partitions(spark))
     key, hash_ = _hashed(docs)
     rows = docs.select(key.alias("id"), hash_.alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
-    met = rows.mapInArrow(_signed(k, num, den, keys), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_met(small), _OUT)
-    met = cut(met)
-    doc = met.where("kind = 0").select("id", "n", F.col("m").alias("hash"), "a")
-    classes = doc.where("n > 0").groupBy("a").agg(F.min(F.struct("id", "hash")).alias("first"))
-    classes = cut(classes.select("a", F.col("first.id").alias("least"), F.col("first.hash").alias("hash")))
-    big = met.where("kind = 2").select(F.col("id").alias("gid"), "a", F.col("n").alias("side"), F.col("m").alias("need"))
-    # a pair's equal parts lie in small groups, which have counted them, or in as many over-full ones as both are in;
-    # dense members of a common over-full group are joined there, others have all their equal parts in small groups
-    crowd = big.groupBy("a", "side").agg(F.count(F.lit(1)).alias("b"), F.min("need").alias("need"))
-    crowd = cut(crowd.groupBy("a").agg(F.max("b").alias("crowded"), F.max(F.col("b") >= F.col("need")).alias("dense")))
-    pairs = met.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "m")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("m").alias("m"))
-    pairs = pairs.join(crowd.select("a", F.col("crowded").alias("ca"), F.col("dense").alias("da")), "a", "left")
-    pairs = pairs.join(crowd.select(F.col("a").alias("b"), F.col("crowded").alias("cb"), F.col("dense").alias("db")), "b", "left")
-    pairs = pairs.where("n + if(da AND db, 0, least(coalesce(ca, 0), coalesce(cb, 0))) >= m").select("a", "b")
-    members = cut(big.join(crowd.where("dense"), "a").select("gid", "a", "crowded"))
-    # the member of most over-full groups is likely central, and the pivot of all of them
-    pivots = cut(members.groupBy("gid").agg(F.max_by("a", F.struct("crowded", "a")).alias("b")))
-    # groups of one pivot are one region
-    regions = cut(members.join(pivots, "gid").select(F.col("b").alias("gid"), "a").distinct())
-    spokes = regions.where("a <> gid").select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b"))
-    pairs = cut(pairs.union(spokes).distinct())
-    nodes = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).union(regions.select("a")).distinct()
+    met = cut(rows.mapInArrow(_signed(k, num, den, keys), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_met, _OUT))
+    doc = met.where("kind = 0").select("id", F.col("m").alias("n"), "a")
+    classes = met.where("kind = 1").groupBy("a", "key").agg(F.min(F.struct("id", "hash")).alias("first"), F.min("n").alias("n"), F.max("m").alias("size"))
+    # a shingle shared within each block that holds the set is counted there, any other one by its partition
+    shared = met.where("kind = 2").groupBy("key").agg(F.sum("n").alias("shared"))
+    least = F.expr(f"greatest(1, ((size * {num} + {den - 1}) div {den}) div {TENTH})")
+    classes = classes.join(shared, "key", "left").withColumn("alive", F.coalesce("shared", F.lit(0)) + F.col("n") >= least)
+    classes = cut(classes.select("a", "key", F.col("first.id").alias("least"), F.col("first.hash").alias("hash"), "alive"))
+    alive = classes.where("alive").select("a", F.col("least").alias("id"), "hash")
+    held = cut(rows.join(alive, ["id", "hash"]).select("a", "text").mapInArrow(_blocked(k), "block long, blob binary"))
+    often = held.mapInArrow(_counted(keys), "key long, block long, blob binary").repartition(len(keys), "key").mapInArrow(_often, "block long, blob binary")
+    often = often.groupBy("block").agg(F.collect_list("blob").alias("often"))
+    places = cut(held.join(often, "block").select("block", "blob", "often").mapInArrow(_placed(num, den), _PLACES).distinct())
     # numbers in the order of least ids, so that a component's least number stands for its least id
-    nodes = cut(nodes.join(classes, "a").orderBy("least", "a").withColumn("node", F.monotonically_increasing_id()))
-    texts = rows.join(nodes.select(F.col("least").alias("id"), "hash", "a"), ["id", "hash"]).select("a", "text")
-    sets = texts.mapInArrow(_blobs_of_sets(k), "a binary, shingles binary").dropDuplicates(["a"])
-    sets = cut(sets.join(nodes, "a").select("a", "shingles", "node"))
-    links = cut(_verified(pairs, sets, num, den))
-    found = components(links)
-    if not regions.isEmpty():
-        more = _verified(_across(regions, sets, found, num, den), sets, num, den)
-        found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))).union(cut(more)))
+    nodes = classes.join(places.select("key").distinct(), "key").select("a", "key", "least")
+    nodes = cut(nodes.orderBy("least", "a").withColumn("node", F.monotonically_increasing_id()))
+    sets = cut(held.mapInArrow(_singled, "key long, shingles binary").join(nodes.select("key", "node"), "key").select("node", "shingles").dropDuplicates(["node"]))
+    found = _regions(cut(places.join(nodes.select("key", "node"), "key").select("node", "shingle", "size", "core")), sets, num, den)
+    classes = classes.select("a", "least", "hash")
+    if found is None:
+        return doc, classes, classes.select("a", F.col("least").alias("component"), F.col("a").alias("main"))
     mains = nodes.select(F.col("node").alias("component"), F.col("a").alias("main"), F.col("least").alias("id"))
     linked = found.join(nodes.select("node", "a"), "node").join(mains, "component").select("a", "main", "id")
     named = classes.join(linked, "a", "left").select("a", F.coalesce("id", "least").alias("component"), F.coalesce("main", "a").alias("main"))
-    return doc.drop("hash"), classes, cut(named)
+    return doc, classes, cut(named)
 
 
 def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -364,12 +439,15 @@ def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     Documents without words link with nothing and stay. Different texts of one doc_id, null
     or not, are documents of their own. Of a component's rows of the least doc_id one
     stays: of its least set by name the least hash of the text, then of the whole row.
+    Columns may have any names.
     """
-    _, classes, named = _components(docs, k, num, den, SMALL)
-    firsts = classes.join(named, "a").where("a = main").select(F.col("least").alias("__key"), F.col("hash").alias("__hash"))
+    _, classes, named = _components(docs, k, num, den)
     key, hash_ = _hashed(docs)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     words = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    rows = docs.withColumns({"__key": key, "__hash": hash_, "__row": F.xxhash64(*columns)}).where(words).join(cut(firsts), ["__key", "__hash"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__row"))
-    return rows.withColumn("__first", first).where("__first = 1").select(*columns).unionByName(docs.where(~words))
+    # the row rides in a struct, so that no column of it meets the names used here
+    rows = docs.where(words).select(key.alias("id"), hash_.alias("hash"), F.struct(*columns).alias("row"))
+    firsts = classes.join(named, "a").where("a = main").select(F.col("least").alias("id"), "hash")
+    rows = rows.join(cut(firsts), ["id", "hash"], "left_semi").withColumn("of_row", F.xxhash64("row"))
+    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy("of_row"))
+    return rows.withColumn("nr", first).where("nr = 1").select("row.*").unionByName(docs.where(~words))

@@ -1,8 +1,10 @@
 """Operators 2 and 6 against brute force, and components of links."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,9 +37,11 @@ def brute(rows, k, num, den):
     return {i: (len(s), root(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize(("k", "num", "den", "small"), [(4, 85, 100, 48), (4, 85, 100, 2), (5, 80, 100, 3), (2, 1, 2, 4)])
-def test_components_of_similar_documents(docs, rows, k, num, den, small):
-    got = jaccard.join(docs, k, num, den, small).collect()
+@pytest.mark.parametrize(("k", "num", "den", "rounds", "few"), [(4, 85, 100, 8, 2), (4, 85, 100, 1, 0), (5, 80, 100, 0, 0), (2, 1, 2, 3, 0)])
+def test_components_of_similar_documents(docs, rows, k, num, den, rounds, few, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    got = jaccard.join(docs, k, num, den).collect()
     want = brute(rows, k, num, den)
     assert len(got) == len(rows)
     for r in got:
@@ -75,11 +79,42 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_shells_hold_links_together():
+@pytest.mark.parametrize(("rounds", "few"), [(2, 0), (8, 2), (0, 0)])
+def test_clusters_about_the_threshold(spark, monkeypatch, rounds, few):
+    """Chains of edits, passages that many texts share, and templates with distances just over and just under the radius."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    r = random.Random(3)
+    prose = lambda n: [f"w{r.randrange(400)}" for _ in range(n)]
+    passage, texts = prose(50), []
+    for _ in range(6):
+        words = prose(r.choice([8, 30, 80, 150]))
+        for _ in range(25):  # each text edits the one before or the first
+            words = list(words)
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+            texts.append(words)
+    texts += [passage + prose(n) for n in range(1, 40)] + [prose(10) + passage + prose(3) for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(r.sample(texts, len(texts)) + texts[:10])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(jaccard, "BLOCK", 3_000)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, 3, 80, 100).collect()}
+    assert got == brute(rows, 3, 80, 100)
+
+
+def test_first_shingles_of_linked_sets_meet():
+    r = random.Random(2)
     for num, den in ((85, 100), (80, 100), (1, 2)):
-        bounds = jaccard.shells(num, den).tolist()
-        shell = lambda n: max(i for i, b in enumerate(bounds) if b <= n)  # noqa: B023, E731
-        assert all(shell(x) - shell(y) <= 1 for x in range(1, 300) for y in range(1, x + 1) if den * y >= num * x)
+        for _ in range(300):
+            a = set(r.sample(range(10_000), r.randint(1, 60)))
+            b = {x if r.random() < num / den + 0.1 else x + 20_000 for x in a} | set(r.sample(range(50_000, 60_000), r.randint(0, 3)))
+            if den * len(a & b) < num * len(a | b):
+                continue
+            firsts = []
+            for s in (a, b):
+                values = np.array(sorted(s), np.uint64)
+                firsts.append(set(values[jaccard.first_ones(values, np.zeros(len(s), np.int64), np.array([len(s)]), num, den)].tolist()))
+            least = min(jaccard.beyond(jaccard.least_shared(len(s), num, den)) for s in (a, b))
+            assert len(firsts[0] & firsts[1]) >= least
 
 
 def test_empty_tables(nothing):
