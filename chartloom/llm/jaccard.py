@@ -32,8 +32,8 @@ from chartloom.llm.hashing import Texts, U, between, blocks, fitting, inside, jo
 
 #: Bytes of text handled at once; the share of a set, one in so many, by which its first shingles exceed what a linked set may lack.
 BLOCK, TENTH = 6_000_000, 10
-#: Rounds of pivots, at most; pairs for each place of a document that are few enough to be compared.
-ROUNDS, FEW = 8, 2
+#: Rounds of pivots, at most; pairs for each place of a document that are few enough to be compared at once.
+ROUNDS, FEW = 6, 2
 
 
 class Sets:
@@ -318,14 +318,14 @@ def _regions(places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     ``places``: node, shingle, size, core; ``sets``: node, shingles.
     """
     radius = 1 - num / den + 1e-9
-    home = found = None
-    links = []
+    home = found = before = None
+    open_, left, all_ = _open(places, found)
     for turn in range(ROUNDS):
-        open_, left, all_ = _open(places, found)
         if not left:
             return found
-        if left <= FEW * all_:
+        if left <= FEW * all_ or before is not None and left > before / 2:  # new pivots would not part much more
             break
+        before = left
         # in a place all documents have one pivot, those of the pivot's own component none
         pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("pivot")
         met = open_.join(open_.groupBy("shingle").agg(pivot), "shingle").where("component <> pivot.component").select("node", F.col("pivot.node").alias("pivot"))
@@ -335,9 +335,8 @@ def _regions(places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         linked = measured.where("linked").select("a", "b")
         if linked.isEmpty():
             break
-        links = [linked] if found is None else [linked, found.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-        found = components(links[0] if len(links) == 1 else links[0].union(links[1]))
-    open_, left, _ = _open(places, found)
+        found = components(linked if found is None else linked.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        open_, left, all_ = _open(places, found)
     if not left:
         return found
     member = open_.select("node", "shingle", "component", "size", "core")
