@@ -8,12 +8,12 @@ so many in common with each linked set; a set too few of whose first shingles st
 sets' links with nothing. What is left is held against all its shingles in the same way, and
 is placed at its rarest ones: two linked sets meet in at least one place.
 
-Each place gives its documents a pivot, and each document takes for its region that of the
+Each place gives its documents a central pivot, and each document takes for its region that of the
 pivot it meets most often. Distances to pivots are computed: what lies within the radius is
 in one component with the pivot; what lies beyond is on the boundary and goes on to new pivots
 of other components, region by region and round by round. In the end only documents that
-share a place, lie in different components and, by the triangle inequality from the pivot of
-their region, may be near are compared one by one.
+share a place, lie in different components and may be near, by the triangle inequality from the
+pivot of their region and by what is rarer and more frequent than the place, are compared.
 """
 
 from __future__ import annotations
@@ -242,13 +242,15 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _blobs([(block, pack([("<u8", own[mine > 1]), ("<u4", np.minimum(mine[mine > 1], 2**32 - 1))]))], ("block", "blob"))
 
 
-_PLACES = "key long, shingle long, size long, core long"
+_PLACES = "key long, shingle long, size long, core long, rank long, weight long"
 
 
 def _placed(num: int, den: int):
     """(block, blob, often) to the places of sets: their rarest shingles, as many as a linked set may lack and one more.
 
-    A shingle that no other set holds is in no intersection. A set with too few others is gone.
+    A shingle that no other set holds is in no intersection. A set with too few others (its
+    ``core``) is gone. ``rank`` counts the core's rarer shingles; ``weight`` is how many sets
+    hold one of the set's shingles on average, in thousandths: the greater, the more central.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,14 +266,16 @@ def _placed(num: int, den: int):
                 core = known[at] == values if len(known) else np.zeros(len(values), bool)
                 values, of, count = values[core], of[core], count[at[core]] if len(known) else count
                 cores = np.bincount(of, minlength=len(sizes))
+                weight = np.bincount(of, weights=count, minlength=len(sizes)) * 1000 // sizes
                 places = cores - least_shared(sizes, num, den) + 1
                 order = np.lexsort((values, count, of))
                 values, of = values[order], of[order]
                 start = np.concatenate([[0], np.cumsum(cores)[:-1]])
-                chosen = np.arange(len(values)) - start[of] < places[of]
+                rank = np.arange(len(values)) - start[of]
+                chosen = rank < places[of]
                 values, of = values[chosen], of[chosen]
-                arrays = [names.reshape(-1, 2)[of, 0].view(np.int64), values.view(np.int64), sizes[of], cores[of]]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["key", "shingle", "size", "core"])
+                arrays = [names.reshape(-1, 2)[of, 0].view(np.int64), values.view(np.int64), sizes[of], cores[of], rank[chosen], weight[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["key", "shingle", "size", "core", "rank", "weight"])
 
     return run
 
@@ -315,7 +319,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 def _regions(places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """(node, component) of the nodes that link with others; None if none does.
 
-    ``places``: node, shingle, size, core; ``sets``: node, shingles.
+    ``places``: node, shingle, size, core, rank, weight; ``sets``: node, shingles.
     """
     radius = 1 - num / den + 1e-9
     home = found = before = None
@@ -326,8 +330,8 @@ def _regions(places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         if left <= FEW * all_ or before is not None and left > before / 2:  # new pivots would not part much more
             break
         before = left
-        # in a place all documents have one pivot, those of the pivot's own component none
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("pivot")
+        # in a place all documents have one pivot, at first the most central one; those of the pivot's own component have none
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)) if turn else -F.col("weight"), "node", "component")).alias("pivot")
         met = open_.join(open_.groupBy("shingle").agg(pivot), "shingle").where("component <> pivot.component").select("node", F.col("pivot.node").alias("pivot"))
         met = met.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("met")).groupBy("node").agg(F.max_by("pivot", F.struct("met", "pivot")).alias("b"))
         measured = _distances(met.select(F.col("node").alias("a"), "b"), sets, num, den)
@@ -339,7 +343,7 @@ def _regions(places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         open_, left, all_ = _open(places, found)
     if not left:
         return found
-    member = open_.select("node", "shingle", "component", "size", "core")
+    member = open_.select("node", "shingle", "component", "size", "core", "rank")
     if home is not None:  # regions: the nearest pivot of each document, and a pivot's own
         nearest = home.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("r")).select(F.col("a").alias("node"), F.col("r.b").alias("pivot"), F.col("r.distance").alias("away"))
         member = member.join(cut(nearest), "node", "left").withColumns({"pivot": F.coalesce("pivot", "node"), "away": F.coalesce("away", F.lit(0.0))})
@@ -347,7 +351,8 @@ def _regions(places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         member = member.withColumns({"pivot": F.col("node"), "away": F.lit(0.0)})
     member = cut(member)
     other = member.select(*[F.col(c).alias(f"b_{c}") for c in member.columns])
-    most = F.least("core", "b_core")
+    # where two sets first meet, all that they share is still to come
+    most = F.least(F.col("core") - F.col("rank"), F.col("b_core") - F.col("b_rank"))
     near = (most * den >= (F.col("size") + F.col("b_size") - most) * num) & ((F.col("pivot") != F.col("b_pivot")) | (F.abs(F.col("away") - F.col("b_away")) <= radius))
     pairs = member.join(other, (F.col("shingle") == F.col("b_shingle")) & (F.col("component") != F.col("b_component")) & (F.col("node") < F.col("b_node")) & near)
     measured = _distances(pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct(), sets, num, den)
@@ -422,7 +427,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     nodes = classes.join(places.select("key").distinct(), "key").select("a", "key", "least")
     nodes = cut(nodes.orderBy("least", "a").withColumn("node", F.monotonically_increasing_id()))
     sets = cut(held.mapInArrow(_singled, "key long, shingles binary").join(nodes.select("key", "node"), "key").select("node", "shingles").dropDuplicates(["node"]))
-    found = _regions(cut(places.join(nodes.select("key", "node"), "key").select("node", "shingle", "size", "core")), sets, num, den)
+    found = _regions(cut(places.join(nodes.select("key", "node"), "key").drop("key")), sets, num, den)
     classes = classes.select("a", "least", "hash")
     if found is None:
         return doc, classes, classes.select("a", F.col("least").alias("component"), F.col("a").alias("main"))
