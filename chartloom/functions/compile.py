@@ -107,6 +107,8 @@ class Compiler:
             return Typed(~boolean(x), "boolean", T.BooleanType())
         if node.op == "~":
             return _double(F.bitwise_not(F.coalesce(number(x).cast("long"), F.lit(0))))
+        if x.constant and isinstance(x.value, int | float) and not isinstance(x.value, bool):
+            return literal(x.value if node.op == "+" else -x.value)
         return _double(number(x) if node.op == "+" else -number(x))
 
     def binary(self, op: str, a: Typed, b: Typed, node=None) -> Typed:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -204,3 +204,42 @@ def host_parsed(text: str, zone: str) -> datetime | None:
         except ValueError:
             continue
     return None
+
+
+def host_formatted(t: datetime, fmt: str) -> str:
+    """As ``formatted``, for one instant on the host, already in its zone."""
+    sunday, monday = (t.timetuple().tm_yday + 6 - t.isoweekday() % 7) // 7, (t.timetuple().tm_yday + 6 - t.weekday()) // 7
+    epoch, shift = int(t.timestamp() * 1000 // 1), int(t.utcoffset().total_seconds() // 60)
+    own = {
+        "e": f"{t.day:2d}", "f": f"{t.microsecond:06d}", "L": f"{t.microsecond // 1000:03d}", "Q": str(epoch), "s": str(epoch // 1000), "q": str((t.month + 2) // 3),
+        "U": f"{sunday:02d}", "W": f"{monday:02d}", "V": f"{t.isocalendar()[1]:02d}", "w": str(t.isoweekday() % 7), "u": str(t.isoweekday()), "G": str(t.isocalendar()[0]),
+        "g": f"{t.isocalendar()[0] % 100:02d}", "Z": f"{'-' if shift < 0 else '+'}{abs(shift) // 60:02d}{abs(shift) % 60:02d}", "Y": f"{t.year:04d}", "%": "%",
+    }
+    for code, whole in (("c", "%x, %X"), ("x", "%-m/%-d/%Y"), ("X", "%-I:%M:%S %p")):
+        fmt = fmt.replace("%" + code, whole)
+
+    def shown(m: re.Match) -> str:
+        flag, code = m[1], m[2]
+        if code not in own and code not in _JAVA:
+            raise ValueError(f"%{code} is no known time format")
+        text = own[code] if code in own else t.strftime("%" + code)
+        if flag == "-":
+            return re.sub(r"^[0 ]+(?=.)", "", text)
+        return re.sub(r"^0+(?=.)", "", text).rjust(len(text)) if flag == "_" else text
+
+    return re.sub(r"%([-_0]?)([A-Za-z%])", shown, fmt)
+
+
+def host_moved(t: datetime, unit: str, step: int, zone: str) -> datetime:
+    """An instant moved by whole units of its wall clock in ``zone``; a day that a month does not have is its last."""
+    local = t.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+    months = {"year": 12, "quarter": 3, "month": 1}.get(unit)
+    if months:
+        month = local.year * 12 + local.month - 1 + step * months
+        first = local.replace(year=month // 12, month=month % 12 + 1, day=1)
+        last = (first + timedelta(days=31)).replace(day=1) - timedelta(days=1)
+        local = first.replace(day=min(local.day, last.day))
+    else:
+        length = {"week": 7 * 86_400_000, "hours": 3_600_000, "minutes": 60_000, "seconds": 1000, "milliseconds": 1}.get(unit, 86_400_000)
+        local = local + timedelta(milliseconds=step * length)
+    return local.replace(tzinfo=ZoneInfo(zone)).astimezone(UTC)

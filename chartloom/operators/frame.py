@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The hidden column; it need not be contiguous and never leaves the engine.
 ORDER = "_order"
 
 
+@contextmanager
+def exact_names(spark: SparkSession) -> Iterator[None]:
+    """Inside, names of columns that differ in case are different, as in the specification; frames made inside keep to it."""
+    name = "spark.sql.caseSensitive"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ordered(df: DataFrame) -> DataFrame:
     """``df`` with the order in which its rows are read, unless it has one."""
     return df if ORDER in df.columns else df.withColumn(ORDER, F.monotonically_increasing_id())
@@ -33,10 +47,13 @@ def reordered(df: DataFrame, keys: list[Column]) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the session names (a temporary one where it names none)."""
+    """``df`` written to the checkpoint folder that the session names (on one machine a temporary one where it names none)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chartloom-"))
     return df.checkpoint(eager=True)
 
 

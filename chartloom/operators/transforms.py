@@ -15,7 +15,7 @@ from chartloom.functions.host import Host
 from chartloom.functions.types import Typed, kind_of, number, string, unified
 from chartloom.operators import aggregates
 from chartloom.operators.binning import solve
-from chartloom.operators.frame import ORDER, numbered, ordered, reordered
+from chartloom.operators.frame import ORDER, exact_names, numbered, ordered, reordered
 
 Result = tuple[DataFrame, dict]
 
@@ -205,13 +205,11 @@ def bin_(df: DataFrame, spec: dict, scope: Scope) -> Result:
     get = lambda k, default=None: default if constant(spec.get(k), scope) is None else constant(spec.get(k), scope)
     low, high = get("extent", [0.0, 0.0])
     bins = solve(low, high, get("maxbins", 20), get("base", 10), get("step"), get("steps"), get("span"), get("minstep", 0), get("divide", [5, 2]), get("nice", True))
-    start, stop, step = bins["start"], bins["stop"], bins["step"]
     if (anchor := get("anchor")) is not None:
-        shift = anchor - (start + step * math.floor((anchor - start) / step))
-        start, stop = start + shift, stop + shift
+        bins = bins.through(anchor)
+    start, stop, step, count = bins.start, bins.stop, bins.step, len(bins)
     field = name_of(constant(spec["field"], scope))
     x = number(Compiler(df, scope).column(field))
-    count = max(1, math.ceil((stop - start) / step))
     index = F.floor((x - start) / F.lit(float(step)) + 1e-14)
     inf = F.lit(math.inf)
     value = F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double")).when(x == start + count * step, F.lit(start + (count - 1) * step))
@@ -390,6 +388,7 @@ def run(df: DataFrame, transforms: list[dict], scope: Scope) -> Result:
         if kind not in TRANSFORMS:
             raise ValueError(f"transform {kind!r} is not supported")
         own = Scope(ChainMap(signals, scope.signals), scope.rows, scope.zone, scope.input_zone, scope.session)
-        df, more = TRANSFORMS[kind](df if kind in _BY_ROW else ordered(df), spec, own)
+        with exact_names(df.sparkSession):
+            df, more = TRANSFORMS[kind](df if kind in _BY_ROW else ordered(df), spec, own)
         signals |= more
     return df, signals

@@ -66,8 +66,11 @@ class Graph:
         made = S.lookup(self.made, name, path)
         if made is not None and (key is None or len(made[1]) >= len(key[1])):
             owner = self.made[made]
-            self.frame(*owner)
-            return self._found[(*owner, "signals")].get(name)
+            transforms = self.data[owner].get("transform") or []
+            upto = 1 + next(i for i, t in enumerate(transforms) if t.get("signal") == name)  # those after it may not be supported
+            at = (*owner, None) if (*owner, None) in self._frames else (*owner, upto)
+            self.frame(*at)
+            return self._found[(*at, "signals")].get(name)
         key = key or (name, ())
         if key in self.values:
             return self.values[key]
@@ -107,7 +110,7 @@ class Graph:
             transforms = (d.get("transform") or [])[:upto]
             df, found = run(self.source(d, key), transforms, self.scope(key[1]))
             self._frames[at] = df
-            self._found[(*key, "signals")] = found
+            self._found[(*at, "signals")] = found
         return self._frames[at]
 
     def source(self, d: dict, key) -> DataFrame:

@@ -168,3 +168,35 @@ def test_selection_of_local_times(spark):
     spec = {"data": [{"name": "s", "values": store}, {"name": "d", "values": [{"t": f"2023-06-20 {h:02d}:00:00"} for h in (3, 4, 16, 17)], "format": {"parse": {"t": "date"}}, "transform": [{"type": "filter", "expr": "vlSelectionTest('s', datum)"}]}]}
     (df,), _ = runtime.pre_transform_datasets(spec, ["d"])
     assert [r.t.hour for r in df.collect()] == [4, 16]
+
+
+def test_signal_of_a_dataset_that_is_cut(runtime):
+    """The signal's transform can be evaluated, a later one cannot."""
+    spec = {
+        "data": [
+            {"name": "a", "values": [{"v": 3}, {"v": 8}], "transform": [{"type": "extent", "field": "v", "signal": "ext"}, {"type": "sample", "size": 1}]},
+            {"name": "b", "values": [{"u": 1}], "transform": [{"type": "formula", "expr": "ext[1] - ext[0]", "as": "w"}]},
+        ],
+        "marks": [{"type": "rect", "from": {"data": "b"}, "encode": {"update": {"x": {"field": "w"}}}}],
+    }
+    (rows,), _ = runtime.pre_transform_values(spec, ["b"])
+    assert rows == [{"u": 1, "w": 5}]
+    out, _ = runtime.pre_transform_spec(spec)[:2]
+    assert by_name(out)["b"]["values"] == [{"u": 1, "w": 5}] or by_name(out)["b"]["values"] == [{"w": 5}]
+
+
+def test_times_on_the_driver_are_those_of_columns(spark):
+    """Signals and columns give one text for each directive and one instant for each offset."""
+    runtime = Runtime(spark, local_tz="America/New_York")
+    formats = ["%e %q %Q", "%-d/%m/%y %_H:%M:%S.%L", "%U %W %V %w %u %G %g %j", "%Z %s %f", "%a %A %b %B %p %I", "%c|%x|%X|%%"]
+    instants = ["2021-01-03T04:05:06.789Z", "2020-02-29T23:59:59Z", "2023-12-31T12:00:00Z", "2021-11-07T05:30:00Z"]
+    offsets = [(u, n) for u in ("year", "quarter", "month", "week", "day", "hours", "minutes", "milliseconds") for n in (1, -3)]
+    texts = [f"timeFormat(toDate(T), '{f}')" for f in formats] + [f"time(timeOffset('{u}', toDate(T), {n}))" for u, n in offsets]
+    signals = [{"name": f"s{i}x{j}", "update": e.replace("toDate(T)", f"toDate('{t}')")} for i, t in enumerate(instants) for j, e in enumerate(texts)]
+    formulas = [{"type": "formula", "expr": e.replace("toDate(T)", "toDate(datum.t)"), "as": f"c{j}"} for j, e in enumerate(texts)]
+    made = [{"type": "formula", "expr": f"s{i}x{j}", "as": f"s{i}x{j}"} for i in range(len(instants)) for j in range(len(texts))]
+    spec = {"signals": signals, "data": [{"name": "d", "values": [{"t": t} for t in instants], "transform": [*formulas, *made]}]}
+    (rows,), _ = runtime.pre_transform_values(spec, ["d"])
+    for i, r in enumerate(rows):
+        for j, e in enumerate(texts):
+            assert r[f"c{j}"] == r[f"s{i}x{j}"], (instants[i], e)

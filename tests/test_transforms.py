@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+# The rows of MEDALS, WIDE and ABCD are those of FIXTURES.md, so that results can be held against published ones.
 MEDALS = [
     {"country": c, "type": t, "count": n, "is_gold": None if t is None else t == "gold"}
     for c, t, n in [
@@ -114,13 +115,15 @@ def test_bin_edges(run):
 
 
 def test_bin_solver():
-    from chartloom.operators.binning import solve
-
-    assert solve(0, 10) == {"start": 0, "stop": 10, "step": 0.5}
-    assert solve(0, 10, maxbins=5) == {"start": 0, "stop": 10, "step": 2}
-    assert solve(1, 1, maxbins=10)["step"] > 0
-    assert solve(0, 100, maxbins=10, steps=[5, 20, 50])["step"] == 20
-    assert solve(0.3, 9.7, step=2, nice=False) == {"start": 0.3, "stop": 9.7, "step": 2}
+    from chartloom.operators.binning import Bins, solve
+
+    assert solve(0, 10) == Bins(0, 10, 0.5)
+    assert solve(0, 10, maxbins=5) == Bins(0, 10, 2)
+    assert solve(1, 1, maxbins=10).step > 0
+    assert solve(0, 100, maxbins=10, steps=[5, 20, 50]).step == 20 and solve(0, 1000, maxbins=10, steps=[5, 20, 50]).step == 50
+    assert solve(0.3, 9.7, step=2, nice=False) == Bins(0.3, 9.7, 2)
+    assert solve(3, 17, maxbins=10) == Bins(2, 18, 2) and solve(0.12, 0.57, maxbins=10).step == 0.05
+    assert solve(0, 10, step=5).through(7) == Bins(2, 12, 5) and len(solve(0, 10, step=5)) == 2
     with pytest.raises(ValueError):
         solve(2, 1)
 
@@ -154,3 +157,23 @@ def test_timeunit(runtime, zone, units, text, start):
     spec = {"data": [{"name": "d", "values": [{"t": text}], "transform": [{"type": "formula", "expr": "toDate(datum.t)", "as": "t"}, {"type": "timeunit", "field": "t", "units": units}]}]}
     (df,), _ = runtime.pre_transform_datasets(spec, ["d"], local_tz=zone, default_input_tz="UTC")
     assert str(df.first()["unit0"]) == start
+
+
+def test_names_that_differ_in_case(run):
+    values = [{"k": 1, "f": "a", "v": 1}, {"k": 1, "f": "A", "v": 2}, {"k": 2, "f": "A", "v": 4}]
+    got = run(values, {"type": "pivot", "field": "f", "value": "v", "groupby": ["k"]})
+    assert got.columns == ["k", "A", "a"] and rows(got) == [(1, 2, 1), (2, 4, 0)]
+    got = run([{"x": 1}], {"type": "formula", "expr": "datum.x + 1", "as": "X"}, {"type": "formula", "expr": "datum.X * 10", "as": "y"})
+    assert got.columns == ["x", "X", "y"] and rows(got) == [(1, 2, 20)]
+
+
+def test_median_in_sorted_windows(run):
+    values = [{"i": i, "v": v} for i, v in enumerate([5, 1, 3, 9])]
+    got = rows(run(values, {"type": "window", "sort": {"field": "i"}, "ops": ["median", "q1"], "fields": ["v", "v"], "as": ["m", "q"]}))
+    assert [r[2] for r in got] == [5, 3, 3, 4]
+
+
+def test_types_of_late_inline_values(run):
+    values = [{"v": i} for i in range(1100)] + [{"v": 0.5}, {"v": None, "w": "late"}]
+    got = run(values, {"type": "aggregate", "ops": ["sum", "valid"], "fields": ["v", "w"], "as": ["s", "n"]})
+    assert rows(got) == [(sum(range(1100)) + 0.5, 1)]
