@@ -13,8 +13,8 @@ SUPPORTED = (
 )
 
 
-def of(op: str, field: Typed | None) -> Column:
-    """The aggregate of a column; ``field`` None stands for a column that does not exist."""
+def of(op: str, field: Typed | None, framed: bool = False) -> Column:
+    """The aggregate of a column; ``field`` None stands for a column that does not exist. ``framed``: for a window."""
     if op == "count":
         return F.count(F.lit(1))
     if field is None:
@@ -39,12 +39,12 @@ def of(op: str, field: Typed | None) -> Column:
             return F.sum(x)
         case "mean" | "average":
             return F.avg(x)
-        case "median":
-            return F.percentile(x, 0.5)  # unlike median it takes sorted window frames
-        case "q1":
-            return F.percentile(x, 0.25)
-        case "q3":
-            return F.percentile(x, 0.75)
+        case "median" | "q1" | "q3":
+            shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+            if framed:
+                return F.percentile(x, shares[op])
+            # one and the same aggregate for all three, so that a field's values are gathered once
+            return F.get(F.percentile(x, F.array(*map(F.lit, shares.values()))), F.lit([*shares].index(op)))
         case "variance":
             return F.var_samp(x)
         case "variancep":

@@ -191,7 +191,7 @@ def window(df: DataFrame, spec: dict, scope: Scope) -> Result:
         elif op in ("distinct", "stderr"):
             raise ValueError(f"{op} is not supported in windows")
         else:
-            new[name] = aggregates.of(op, x).over(framed)
+            new[name] = aggregates.of(op, x, framed=True).over(framed)
     out = with_columns(source, new)
     return (out.drop("_peers") if source is not df else out), {}
 
@@ -242,7 +242,7 @@ def stack(df: DataFrame, spec: dict, scope: Scope) -> Result:
     by = [*sort_keys(df, spec.get("sort")), F.col(ORDER).asc()]
     given = spec.get("as") or ["y0", "y1"]
     first, second = unescaped(given[0]), unescaped(given[1] if len(given) > 1 else "y1")
-    df = df.withColumn("_value", x if offset == "zero" else F.abs(x))
+    df = bare = df.withColumn("_value", x if offset == "zero" else F.abs(x))
     part = [*groupby, F.col("_value") < 0] if offset == "zero" else groupby
     to = F.sum("_value").over(Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("_to", to)
@@ -253,7 +253,7 @@ def stack(df: DataFrame, spec: dict, scope: Scope) -> Result:
         start, end = share(start), share(end)
     elif offset == "center":
         df = df.withColumn("_total", F.sum("_value").over(Window.partitionBy(*groupby)))
-        most = df.agg(F.max("_total").alias("_most"))
+        most = bare.groupBy(*groupby).agg(F.sum("_value").alias("_total")).agg(F.max("_total").alias("_most"))
         df = df.crossJoin(F.broadcast(most))  # one row
         shift = (F.col("_most") - F.col("_total")) / 2
         start, end = start + shift, end + shift
