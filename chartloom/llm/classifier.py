@@ -105,8 +105,9 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = STEPS, decay: float =
 def fit(docs: DataFrame, fitted: int = FITTED) -> Model:
     """Labellers' accuracies from the vote patterns of all documents, then the scorer.
 
-    The scorer is fitted on the documents whose hashed doc_id falls under a share that
-    ``fitted`` is of all; this bound is the one thing that looks at a part of the rows.
+    The scorer is fitted on the documents whose hash of id and text falls under a share that
+    ``fitted`` is of all, repeated rows once; this bound is the one thing that looks at a part
+    of the rows. Null and empty texts count as texts without words, null ids as ids.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +121,8 @@ def fit(docs: DataFrame, fitted: int = FITTED) -> Model:
     posterior, _ = estimate(sorted((tuple(r["votes"]), r["n"]) for r in patterns))
     n = sum(r["n"] for r in patterns)
     share = min(1.0, fitted / max(n, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = [r["text"] or "" for r in some.select("text").limit(2 * fitted).collect()]
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = [r["text"] or "" for r in some.select("doc_id", "text").distinct().collect()]
     both = [measures(t) for t in sorted(texts)]
     x = np.stack([hashed(*m) for m in both]) if both else np.zeros((0, WEIGHTS), np.float32)
     y = np.array([posterior[votes(m[0])] for m in both], np.float32)

@@ -48,7 +48,8 @@ STAGES = [
     ("bpe_coding", bpe_coding),
 ]
 
-#: The classifier's fit and the tokenizer's merges have no SQL; tests hold each stage against a brute-force version.
+#: The classifier's fit and the tokenizer's merges have no SQL. Tests hold the operators of stages 2 to 5 against brute-force
+#: versions and the classifier against labels; the pipeline's own test compares run() with its stages.
 ORACLE_SQL = None
 
 
