@@ -7,6 +7,10 @@ an anchor stand in equal surroundings a hash settles them; what is left is sorte
 multikey quicksort on 8-byte symbols to a shallow depth, then a blind trie for each group
 still undivided. Right and left of the anchor, the orders and their longest common prefixes
 tell for each window whether another one is equal.
+
+An anchor in very many different surroundings, such as the edge of a passage that a third of
+all documents share, would make one group of them all: there each window goes by its own
+hash to a partition of its own, and equal windows of a block are settled before they go.
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ from chartloom.llm.hashing import Texts, U, between, blocks, byte_numbers, fitti
 
 #: Bytes of a window, of an anchor's k-gram, of text in a block, of the shallow sort (whole symbols).
 WINDOW, GRAM, BLOCK, SHALLOW = 400, 32, 1_500_000, 64
-#: Bytes [start, end) that go; and surroundings to compare: group, first window, windows, anchor's place behind the first, settled.
+#: Surroundings of one anchor that are sorted together; where there are more, windows go by hash.
+MANY = 128
+#: Windows hashed at once.
+HASHED = 500_000
+#: Bytes [start, end) that go; and surroundings to compare: group, first window, windows, anchor's place behind the first, settled, of a group beyond MANY.
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
-PLACE = np.dtype([("group", "<u8"), ("first", "<u4"), ("windows", "<u2"), ("anchor", "<u2"), ("settled", "u1")])
+PLACE = np.dtype([("group", "<u8"), ("first", "<u4"), ("windows", "<u2"), ("anchor", "<u2"), ("settled", "u1"), ("hot", "u1")])
 
 
 def _common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -226,7 +234,35 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def _met(window: int):
+def _merged(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, spans): windows that touch or overlap in one document as one span."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + window)
+    heads = np.flatnonzero(fresh)
+    last = np.concatenate([heads[1:], [len(doc)]])[: len(heads)] - 1
+    return doc[heads], _spans(start[heads], start[last] + window)
+
+
+def _twice(low: np.ndarray, high: np.ndarray, doc: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, heads, again) of windows sorted by hash: where equal ones begin, and whether they stand in two places or are known to.
+
+    A place that comes twice, from a repeated row, is one place.
+    """
+    order = np.lexsort((start, doc, low, high))
+    low, high, doc, start = low[order], high[order], doc[order], start[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    other = new.copy()
+    other[1:] |= (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+    heads = np.flatnonzero(new)
+    if not len(heads):
+        return order, heads, np.zeros(0, bool)
+    return order, heads, (np.add.reduceat(other.astype(np.int64), heads) > 1) | np.logical_or.reduceat(known[order], heads)
+
+
+def _met(window: int, many: int):
     """Blobs of one partition to (id, spans, places): what equal surroundings settle, and what must be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,45 +294,100 @@ def _met(window: int):
         go = heads[(kinds[group[heads]] > 1) & open_[group[heads]]]  # one of each kind, where there are several and one is open
         place = np.zeros(len(go), PLACE)
         place["group"], place["first"], place["windows"], place["anchor"], place["settled"] = mix(key[go]), first[go], count[go], anchor[go], settled[go]
+        place["hot"] = kinds[group[go]] > many
         yield _rows_of(doc[go], place, "places")
 
     return run
 
 
 def _cut_out(window: int, keys: list[int]):
-    """(id, text, places) to (key, blob): the bytes around each place."""
+    """(id, text, places) to (key, blob): the bytes around each place, and the hashes of its windows where the group is hot."""
     parts = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[int, list] = {}
-            held = 0
+            hot: list[tuple] = []
+            held = hashed = 0
             for i, text, places in zip(*batch.columns, strict=True):
                 raw = text.as_py().encode()
                 places = np.frombuffer(b"".join(places.as_py()), PLACE)
                 places = places[places["first"].astype(np.int64) + places["windows"] - 1 + window <= len(raw)]
                 to = (places["group"] % parts).astype(np.int64)
                 for p, at, n, place in zip(to.tolist(), places["first"].tolist(), places["windows"].tolist(), places, strict=True):
-                    out.setdefault(p, []).append((i.as_py(), place, raw[at : at + n - 1 + window]))
+                    piece = raw[at : at + n - 1 + window]
+                    if place["hot"]:
+                        hot.append((i.as_py(), at, piece))
+                        hashed += n
+                    else:
+                        out.setdefault(p, []).append((i.as_py(), place, piece))
                     held += n + window
-                if held > 8_000_000:
-                    yield _blobs(out, keys)
-                    out, held = {}, 0
-            yield _blobs(out, keys)
+                    if held > 8_000_000 or hashed > HASHED:
+                        yield _blobs(out, hot, window, keys)
+                        out, hot, held, hashed = {}, [], 0, 0
+            yield _blobs(out, hot, window, keys)
 
     return run
 
 
-def _blobs(out: dict[int, list], keys: list[int]) -> pa.RecordBatch:
-    rows = [(keys[p], pack([("<i8", np.array([m[0] for m in members], np.int64)), ("u1", np.array([m[1] for m in members], PLACE).view("u1")), ("<u2", np.array([len(m[2]) for m in members])), ("u1", np.frombuffer(b"".join(m[2] for m in members), np.uint8))])) for p, members in out.items()]
+def _hashed(hot: list[tuple], window: int, parts: int) -> list[list[tuple[str, np.ndarray]]]:
+    """For each partition the arrays of (id, start, bytes): one window of each kind, by hash, and spans of those settled here, by id."""
+    texts = Texts([h[2] for h in hot])
+    count = np.diff(texts.ends, prepend=0) - window + 1
+    piece = np.repeat(np.arange(len(hot)), count)
+    step = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.concatenate([[0], texts.ends])[piece] + step
+    low, high = (between(prefix(byte_numbers(salt, False)[texts.raw]), at, at + window, salt) for salt in (9, 10))
+    doc = np.array([h[0] for h in hot], np.int64)[piece]
+    start = np.array([h[1] for h in hot], np.int64)[piece] + step
+    order, heads, again = _twice(low, high, doc, start, np.zeros(len(doc), bool))
+    settled = order[np.repeat(again, np.diff(np.concatenate([heads, [len(order)]])))]
+    owner, spans = _merged(doc[settled], start[settled], window)
+    low, high, doc, start = (x[order[heads]] for x in (low, high, doc, start))
+    to, owned = (high % U(parts)).astype(np.int64), owner % parts
+    by, own = np.argsort(to, kind="stable"), np.argsort(owned, kind="stable")
+    cuts, limits = np.searchsorted(to[by], np.arange(parts + 1)), np.searchsorted(owned[own], np.arange(parts + 1))
+    out = []
+    for p in range(parts):
+        mine, theirs = by[cuts[p] : cuts[p + 1]], own[limits[p] : limits[p + 1]]
+        used, local = np.unique(doc[mine], return_inverse=True)
+        out.append(
+            [("<i8", used), (fitting(local), local), *split48(high[mine] // U(parts)), ("<u8", low[mine]), (fitting(start[mine]), start[mine]), ("u1", again[mine]), ("<i8", owner[theirs]), ("u1", spans[theirs].view("u1"))]
+        )
+    return out
+
+
+def _blobs(out: dict[int, list], hot: list[tuple], window: int, keys: list[int]) -> pa.RecordBatch:
+    windows = _hashed(hot, window, len(keys)) if hot else [[]] * len(keys)
+    rows = []
+    for p in range(len(keys)) if hot else out:
+        members = out.get(p, [])
+        rows.append((keys[p], pack([("<i8", np.array([m[0] for m in members], np.int64)), ("u1", np.array([m[1] for m in members], PLACE).view("u1")), ("<u4", np.array([len(m[2]) for m in members], np.int64)), ("u1", np.frombuffer(b"".join(m[2] for m in members), np.uint8)), *windows[p]])))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "blob"])
 
 
+def _matched(held: list[list[np.ndarray]], window: int) -> Iterator[pa.RecordBatch]:
+    """(id, spans, null) of the windows that went by hash, and of those settled on the way."""
+    held = [h for h in held if len(h) > 4]
+    if not held:
+        return
+    doc = np.concatenate([h[4][h[5]] for h in held])
+    high = np.concatenate([join48(h[6], h[7]) for h in held])
+    low, known = np.concatenate([h[8] for h in held]), np.concatenate([h[10] for h in held]).astype(bool)
+    start = np.concatenate([h[9].astype(np.int64) for h in held])
+    order, heads, again = _twice(low, high, doc, start, known)
+    found = order[np.repeat(again, np.diff(np.concatenate([heads, [len(order)]])))]
+    yield _rows_of(*_merged(doc[found], start[found], window), "spans")
+    yield _rows_of(np.concatenate([h[11] for h in held]), np.concatenate([h[12].view(SPAN) for h in held]), "spans")
+
+
 def _sorted(window: int, shallow: int):
-    """Blobs of one partition to (id, spans, null): the open surroundings sorted and compared."""
+    """Blobs of one partition to (id, spans, null): the open surroundings sorted and compared, windows of hot groups matched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [unpack(blob.as_py()) for batch in batches for blob in batch.column(1)]
+        yield from _matched(held, window)
+        held = [h for h in held if len(h[0])]
         if not held:
             return
         ids = np.concatenate([h[0] for h in held])
@@ -366,12 +457,12 @@ def _kept(as_bytes: bool):
     return run
 
 
-def _marked(docs: DataFrame, window: int, gram: int, block: int, shallow: int) -> DataFrame:
+def _marked(docs: DataFrame, window: int, gram: int, block: int, shallow: int, many: int) -> DataFrame:
     spark = docs.sparkSession
     keys = keyed_partitions(spark, partitions(spark))
     rows = docs.select("doc_id", key_of(F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     out = "id long, spans binary, places binary"
-    met = rows.select("id", "text").mapInArrow(_anchored(window, gram, keys, block), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_met(window), out)
+    met = rows.select("id", "text").mapInArrow(_anchored(window, gram, keys, block), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_met(window, many), out)
     met = cut(met)
     places = met.where("places is not null").groupBy("id").agg(F.collect_list("places").alias("places"))
     around = rows.join(places, "id").select("id", "text", "places").mapInArrow(_cut_out(window, keys), "key long, blob binary").repartition(len(keys), "key")
@@ -379,24 +470,25 @@ def _marked(docs: DataFrame, window: int, gram: int, block: int, shallow: int) -
     return rows.join(spans.groupBy("id").agg(F.collect_list("spans").alias("spans")), "id", "left").select("doc_id", "text", "spans")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shallow: int = SHALLOW) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shallow: int = SHALLOW, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), spans: one row for each input row.
 
     A byte of the UTF-8 text goes if a string of ``window`` bytes that covers it starts
     anywhere else too, in another document or in the same one; the first occurrence goes
-    like the others. ``spans`` are the maximal runs that went. Equal surroundings are told
-    by 112 bits of hashes, everything else by its bytes.
+    like the others. ``spans`` are the maximal runs that went. Equal surroundings, and windows
+    at an anchor that has more than ``many`` different ones, are told by 112 bits of hashes,
+    everything else by its bytes.
 
     Null and empty texts have no bytes; shorter texts than a window lose nothing. A null
     doc_id is an id like others. Repeated rows count as one document, rows of one doc_id
     with different texts as parts of it: a span found in one goes from all. Empty tables
     give no rows. Columns beyond doc_id and text are ignored.
     """
-    rows = _marked(docs, window, gram, block, shallow)
+    rows = _marked(docs, window, gram, block, shallow, many)
     return rows.mapInArrow(_kept(True), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
 
 
-def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shallow: int = SHALLOW) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shallow: int = SHALLOW, many: int = MANY) -> DataFrame:
     """As ``dedup``, with the SHA-256 digest of what is kept in place of bytes and spans."""
-    rows = _marked(docs, window, gram, block, shallow)
+    rows = _marked(docs, window, gram, block, shallow, many)
     return rows.mapInArrow(_kept(False), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -76,15 +76,30 @@ def brute_bytes(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "gram", "block", "shallow"), [(400, 32, 1_500_000, 64), (60, 8, 4000, 16), (30, 4, 1500, 8)])
-def test_bytes(docs, rows, window, gram, block, shallow):
-    got = suffixes.digests(docs, window, gram, block, shallow).collect()
+@pytest.mark.parametrize(
+    ("window", "gram", "block", "shallow", "many"),
+    [(400, 32, 1_500_000, 64, 128), (60, 8, 4000, 16, 128), (30, 4, 1500, 8, 128), (400, 32, 1_500_000, 64, 1), (60, 8, 4000, 16, 1), (30, 4, 1500, 8, 3)],
+)
+def test_bytes(docs, rows, window, gram, block, shallow, many):
+    got = suffixes.digests(docs, window, gram, block, shallow, many).collect()
     assert len(got) == len(rows)
     want = brute_bytes(rows, window)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[LEAST if r.doc_id is None else r.doc_id], r.doc_id
 
 
+def test_bytes_at_a_hot_edge(spark):
+    """One passage in many texts, each with words of its own around it."""
+    r = random.Random(3)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = prose(700)
+    rows = [(i, prose(r.randint(0, 500)) + passage + prose(r.randint(0, 500))) for i in range(300)]
+    rows += [(1000 + i, prose(900)) for i in range(20)] + [(2000, rows[5][1]), (2001, rows[5][1])] + rows[7:9]
+    want = brute_bytes(rows, 400)
+    for r in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+
+
 def test_bytes_kept(docs):
     for r in suffixes.dedup(docs, 60, 8, 4000, 16).collect():
         assert len(r.kept) == r.n_bytes - r.n_removed and sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
