@@ -81,6 +81,14 @@ ORACLES = {
         c AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
         g AS (SELECT doc_id, count(*) AS n, sum(gone)::bigint AS r, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)""",
+    "op3_repeated_bytes": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
+        k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN 2 * (i + 400) <= length(h) THEN md5(substr(h, 2 * i + 1, 800)) END AS key FROM p),
+        f AS (SELECT doc_id, i, byte, (key IS NOT NULL AND count(*) OVER (PARTITION BY key) > 1)::int AS again FROM k),
+        c AS (SELECT doc_id, i, byte, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        e AS (SELECT doc_id, i, byte, gone, gone > lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM c),
+        g AS (SELECT doc_id, count(*) AS n, sum(gone)::bigint AS r, count(*) FILTER (WHERE opens) AS s, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(r, 0)::bigint AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)""",
     "op6_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS l FROM w),
