@@ -28,8 +28,8 @@ from chartloom.llm.hashing import Texts, U, between, blocks, byte_numbers, fitti
 
 #: Bytes of a window, of an anchor's k-gram, of text in a block, of the shallow sort (whole symbols).
 WINDOW, GRAM, BLOCK, SHALLOW = 400, 32, 1_500_000, 64
-#: Surroundings of one anchor that are sorted together; where there are more, windows go by hash.
-MANY = 128
+#: Surroundings of one anchor that are sorted together, and that a block sends to the anchor's partition; where there are more, windows go by hash.
+MANY, FEW = 128, 16
 #: Windows hashed at once.
 HASHED = 500_000
 #: Bytes [start, end) that go; and surroundings to compare: group, first window, windows, anchor's place behind the first, settled, of a group beyond MANY.
@@ -178,8 +178,55 @@ def repeated(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nd
             yield i, j, after - 1
 
 
-def _anchored(window: int, gram: int, keys: list[int], size: int):
-    """Blocks of (id, text) to (key, blob): anchors with hashes of their surroundings."""
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, spans): spans that touch or overlap in one document as one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not len(doc):
+        return doc, _spans(start, end)
+    apart = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 33
+    reach = np.maximum.accumulate(end + apart)
+    heads = np.flatnonzero(np.concatenate([[True], (start + apart)[1:] > reach[:-1]]))
+    last = np.concatenate([heads[1:], [len(doc)]]) - 1
+    return doc[heads], _spans(start[heads], (reach - apart)[last])
+
+
+def _dealt(to: np.ndarray, parts: int) -> list[np.ndarray]:
+    """For each partition the indices that go to it."""
+    by = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[by], np.arange(parts + 1))
+    return [by[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _places(key: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, settled: np.ndarray, hot: np.ndarray | bool) -> np.ndarray:
+    out = np.zeros(len(key), PLACE)
+    out["group"], out["first"], out["windows"], out["anchor"], out["settled"], out["hot"] = mix(key), first, count, anchor, settled, hot
+    return out
+
+
+def _twice(low: np.ndarray, high: np.ndarray, doc: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, heads, again) of windows sorted by hash: where equal ones begin, and whether they stand in two places or are known to.
+
+    A place that comes twice, from a repeated row, is one place.
+    """
+    order = np.lexsort((start, doc, low, high))
+    low, high, doc, start = low[order], high[order], doc[order], start[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    other = new.copy()
+    other[1:] |= (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+    heads = np.flatnonzero(new)
+    if not len(heads):
+        return order, heads, np.zeros(0, bool)
+    return order, heads, (np.add.reduceat(other.astype(np.int64), heads) > 1) | np.logical_or.reduceat(known[order], heads)
+
+
+def _anchored(window: int, gram: int, keys: list[int], size: int, few: int):
+    """Blocks of (id, text) to (key, blob): anchors with hashes of their surroundings.
+
+    One place of each kind goes to the anchor's partition. What a block settles by itself and
+    the places of anchors that are hot in it go to partitions dealt by id.
+    """
     parts = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,17 +248,26 @@ def _anchored(window: int, gram: int, keys: list[int], size: int):
             anchor, doc, start = anchor[heads], doc[heads], start[heads]
             around = between(sums, start, start + count - 1 + window, 7) ^ mix(((anchor - start) << 20 | count).astype(U), 8)
             key = grams[anchor]
-            begin = np.concatenate([[0], texts.ends[:-1]])
-            to = (key % U(parts)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[by], np.arange(parts + 1))
+            first, anchor = start - np.concatenate([[0], texts.ends[:-1]])[doc], anchor - start
+            order, heads, again = _twice(around, key, ids[doc], first, np.zeros(len(key), bool))
+            same = order[np.repeat(again, np.diff(np.concatenate([heads, [len(order)]])))]
+            owner, spans = _merged(ids[doc[same]], first[same], first[same] + count[same] - 1 + window)
+            key, doc, around, first, count, anchor = (x[order[heads]] for x in (key, doc, around, first, count, anchor))
+            new_key = np.concatenate([[True], key[1:] != key[:-1]])
+            hot = (np.bincount(np.cumsum(new_key) - 1) > few)[np.cumsum(new_key) - 1]
+            owned, places = ids[doc[hot]], _places(key[hot], first[hot], count[hot], anchor[hot], again[hot], True)
+            go = np.flatnonzero(~hot | new_key)  # of a hot anchor one place, as a sign
+            key, doc, around, first, count, anchor, flag = (x[go] for x in (key, doc, around, first, count, anchor, again + 2 * hot))
+            deal, deal_spans, deal_places = (_dealt(to, parts) for to in ((key % U(parts)).astype(np.int64), owner % parts, owned % parts))
             out = []
             for p in range(parts):
-                mine = by[cuts[p] : cuts[p + 1]]
-                if len(mine):
+                mine, of_spans, of_places = deal[p], deal_spans[p], deal_places[p]
+                if len(mine) + len(of_spans) + len(of_places):
                     used, local = np.unique(doc[mine], return_inverse=True)
-                    place = start[mine] - begin[doc[mine]]
-                    out.append((keys[p], pack([("<i8", ids[used]), (fitting(local), local), *split48(key[mine] // U(parts)), ("<u8", around[mine]), (fitting(place), place), ("<u2", count[mine]), ("<u2", anchor[mine] - start[mine])])))
+                    out.append((keys[p], pack([
+                        ("<i8", ids[used]), (fitting(local), local), *split48(key[mine] // U(parts)), ("<u8", around[mine]), (fitting(first[mine]), first[mine]), ("<u2", count[mine]), ("<u2", anchor[mine]), ("u1", flag[mine]),
+                        ("<i8", owner[of_spans]), ("u1", spans[of_spans].view("u1")), ("<i8", owned[of_places]), ("u1", places[of_places].view("u1")),
+                    ])))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["key", "blob"])
 
     return run
@@ -234,34 +290,6 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, spans): windows that touch or overlap in one document as one span."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + window)
-    heads = np.flatnonzero(fresh)
-    last = np.concatenate([heads[1:], [len(doc)]])[: len(heads)] - 1
-    return doc[heads], _spans(start[heads], start[last] + window)
-
-
-def _twice(low: np.ndarray, high: np.ndarray, doc: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, heads, again) of windows sorted by hash: where equal ones begin, and whether they stand in two places or are known to.
-
-    A place that comes twice, from a repeated row, is one place.
-    """
-    order = np.lexsort((start, doc, low, high))
-    low, high, doc, start = low[order], high[order], doc[order], start[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    other = new.copy()
-    other[1:] |= (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
-    heads = np.flatnonzero(new)
-    if not len(heads):
-        return order, heads, np.zeros(0, bool)
-    return order, heads, (np.add.reduceat(other.astype(np.int64), heads) > 1) | np.logical_or.reduceat(known[order], heads)
-
-
 def _met(window: int, many: int):
     """Blobs of one partition to (id, spans, places): what equal surroundings settle, and what must be compared."""
 
@@ -269,33 +297,27 @@ def _met(window: int, many: int):
         held = [unpack(blob.as_py()) for batch in batches for blob in batch.column(1)]
         if not held:
             return
-        base = np.concatenate([[0], np.cumsum([len(h[0]) for h in held])])
-        ids = np.concatenate([h[0] for h in held])
-        doc = ids[np.concatenate([h[1].astype(np.int64) + base[i] for i, h in enumerate(held)])]
+        yield _rows_of(np.concatenate([h[9] for h in held]), np.concatenate([h[10].view(SPAN) for h in held]), "spans")
+        yield _rows_of(np.concatenate([h[11] for h in held]), np.concatenate([h[12].view(PLACE) for h in held]), "places")
+        doc = np.concatenate([h[0][h[1]] for h in held])
         key = np.concatenate([join48(h[2], h[3]) for h in held])
         around = np.concatenate([h[4] for h in held])
-        first, count, anchor = (np.concatenate([h[k].astype(np.int64) for h in held]) for k in (5, 6, 7))
+        first, count, anchor, flag = (np.concatenate([h[k].astype(np.int64) for h in held]) for k in (5, 6, 7, 8))
         del held
-        order = np.lexsort((first, doc, around, key))
-        doc, key, around, first, count, anchor = (x[order] for x in (doc, key, around, first, count, anchor))
-        if len(doc):  # a repeated row is no other place
-            other = np.ones(len(doc), bool)
-            other[1:] = (key[1:] != key[:-1]) | (around[1:] != around[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
-            doc, key, around, first, count, anchor = (x[other] for x in (doc, key, around, first, count, anchor))
-        new_key = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        new = new_key | np.concatenate([[True], around[1:] != around[:-1]]) if len(key) else new_key
-        heads = np.flatnonzero(new)
-        size = np.diff(np.concatenate([heads, [len(doc)]]))
-        settled = np.repeat(size > 1, size)
-        yield _rows_of(doc[settled], _spans(first[settled], first[settled] + count[settled] - 1 + window), "spans")
-        group = np.cumsum(new_key) - 1
-        kinds = np.bincount(group[heads], minlength=group[-1] + 1 if len(group) else 0)
-        open_ = np.bincount(group[heads], weights=size == 1, minlength=len(kinds)) > 0
-        go = heads[(kinds[group[heads]] > 1) & open_[group[heads]]]  # one of each kind, where there are several and one is open
-        place = np.zeros(len(go), PLACE)
-        place["group"], place["first"], place["windows"], place["anchor"], place["settled"] = mix(key[go]), first[go], count[go], anchor[go], settled[go]
-        place["hot"] = kinds[group[go]] > many
-        yield _rows_of(doc[go], place, "places")
+        order, heads, settled = _twice(around, key, doc, first, flag & 1 > 0)
+        if not len(heads):
+            return
+        size = np.diff(np.concatenate([heads, [len(order)]]))
+        some = order[np.repeat(settled, size)]
+        yield _rows_of(doc[some], _spans(first[some], first[some] + count[some] - 1 + window), "spans")
+        marked = np.logical_or.reduceat(flag[order] > 1, heads)
+        one = order[heads]
+        group = np.cumsum(np.concatenate([[True], key[one][1:] != key[one][:-1]])) - 1
+        kinds = np.bincount(group)
+        marked, open_ = (np.bincount(group, weights=x)[group] > 0 for x in (marked, ~settled))
+        go = marked | (kinds[group] > 1) & open_  # one of each kind, where there are several and one is open
+        one = one[go]
+        yield _rows_of(doc[one], _places(key[one], first[one], count[one], anchor[one], settled[go], (marked | (kinds[group] > many))[go]), "places")
 
     return run
 
@@ -342,14 +364,10 @@ def _hashed(hot: list[tuple], window: int, parts: int) -> list[list[tuple[str, n
     start = np.array([h[1] for h in hot], np.int64)[piece] + step
     order, heads, again = _twice(low, high, doc, start, np.zeros(len(doc), bool))
     settled = order[np.repeat(again, np.diff(np.concatenate([heads, [len(order)]])))]
-    owner, spans = _merged(doc[settled], start[settled], window)
+    owner, spans = _merged(doc[settled], start[settled], start[settled] + window)
     low, high, doc, start = (x[order[heads]] for x in (low, high, doc, start))
-    to, owned = (high % U(parts)).astype(np.int64), owner % parts
-    by, own = np.argsort(to, kind="stable"), np.argsort(owned, kind="stable")
-    cuts, limits = np.searchsorted(to[by], np.arange(parts + 1)), np.searchsorted(owned[own], np.arange(parts + 1))
     out = []
-    for p in range(parts):
-        mine, theirs = by[cuts[p] : cuts[p + 1]], own[limits[p] : limits[p + 1]]
+    for mine, theirs in zip(_dealt((high % U(parts)).astype(np.int64), parts), _dealt(owner % parts, parts), strict=True):
         used, local = np.unique(doc[mine], return_inverse=True)
         out.append(
             [("<i8", used), (fitting(local), local), *split48(high[mine] // U(parts)), ("<u8", low[mine]), (fitting(start[mine]), start[mine]), ("u1", again[mine]), ("<i8", owner[theirs]), ("u1", spans[theirs].view("u1"))]
@@ -377,7 +395,7 @@ def _matched(held: list[list[np.ndarray]], window: int) -> Iterator[pa.RecordBat
     start = np.concatenate([h[9].astype(np.int64) for h in held])
     order, heads, again = _twice(low, high, doc, start, known)
     found = order[np.repeat(again, np.diff(np.concatenate([heads, [len(order)]])))]
-    yield _rows_of(*_merged(doc[found], start[found], window), "spans")
+    yield _rows_of(*_merged(doc[found], start[found], start[found] + window), "spans")
     yield _rows_of(np.concatenate([h[11] for h in held]), np.concatenate([h[12].view(SPAN) for h in held]), "spans")
 
 
@@ -457,12 +475,12 @@ def _kept(as_bytes: bool):
     return run
 
 
-def _marked(docs: DataFrame, window: int, gram: int, block: int, shallow: int, many: int) -> DataFrame:
+def _marked(docs: DataFrame, window: int, gram: int, block: int, shallow: int, many: int, few: int) -> DataFrame:
     spark = docs.sparkSession
     keys = keyed_partitions(spark, partitions(spark))
     rows = docs.select("doc_id", key_of(F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     out = "id long, spans binary, places binary"
-    met = rows.select("id", "text").mapInArrow(_anchored(window, gram, keys, block), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_met(window, many), out)
+    met = rows.select("id", "text").mapInArrow(_anchored(window, gram, keys, block, few), "key long, blob binary").repartition(len(keys), "key").mapInArrow(_met(window, many), out)
     met = cut(met)
     places = met.where("places is not null").groupBy("id").agg(F.collect_list("places").alias("places"))
     around = rows.join(places, "id").select("id", "text", "places").mapInArrow(_cut_out(window, keys), "key long, blob binary").repartition(len(keys), "key")
@@ -470,13 +488,13 @@ def _marked(docs: DataFrame, window: int, gram: int, block: int, shallow: int, m
     return rows.join(spans.groupBy("id").agg(F.collect_list("spans").alias("spans")), "id", "left").select("doc_id", "text", "spans")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shallow: int = SHALLOW, many: int = MANY) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shallow: int = SHALLOW, many: int = MANY, few: int = FEW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), spans: one row for each input row.
 
     A byte of the UTF-8 text goes if a string of ``window`` bytes that covers it starts
     anywhere else too, in another document or in the same one; the first occurrence goes
     like the others. ``spans`` are the maximal runs that went. Equal surroundings, and windows
-    at an anchor that has more than ``many`` different ones, are told by 112 bits of hashes,
+    at an anchor that has more than ``many`` different ones (``few`` in a block), are told by 112 bits of hashes,
     everything else by its bytes.
 
     Null and empty texts have no bytes; shorter texts than a window lose nothing. A null
@@ -484,11 +502,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int =
     with different texts as parts of it: a span found in one goes from all. Empty tables
     give no rows. Columns beyond doc_id and text are ignored.
     """
-    rows = _marked(docs, window, gram, block, shallow, many)
+    rows = _marked(docs, window, gram, block, shallow, many, few)
     return rows.mapInArrow(_kept(True), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")
 
 
-def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shallow: int = SHALLOW, many: int = MANY) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, shallow: int = SHALLOW, many: int = MANY, few: int = FEW) -> DataFrame:
     """As ``dedup``, with the SHA-256 digest of what is kept in place of bytes and spans."""
-    rows = _marked(docs, window, gram, block, shallow, many)
+    rows = _marked(docs, window, gram, block, shallow, many, few)
     return rows.mapInArrow(_kept(False), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -77,11 +77,11 @@ def brute_bytes(rows, window):
 
 
 @pytest.mark.parametrize(
-    ("window", "gram", "block", "shallow", "many"),
-    [(400, 32, 1_500_000, 64, 128), (60, 8, 4000, 16, 128), (30, 4, 1500, 8, 128), (400, 32, 1_500_000, 64, 1), (60, 8, 4000, 16, 1), (30, 4, 1500, 8, 3)],
+    ("window", "gram", "block", "shallow", "many", "few"),
+    [(400, 32, 1_500_000, 64, 128, 16), (60, 8, 4000, 16, 128, 16), (30, 4, 1500, 8, 128, 16), (400, 32, 1_500_000, 64, 1, 16), (60, 8, 4000, 16, 1, 1), (30, 4, 1500, 8, 3, 2), (30, 4, 4000, 8, 128, 1)],
 )
-def test_bytes(docs, rows, window, gram, block, shallow, many):
-    got = suffixes.digests(docs, window, gram, block, shallow, many).collect()
+def test_bytes(docs, rows, window, gram, block, shallow, many, few):
+    got = suffixes.digests(docs, window, gram, block, shallow, many, few).collect()
     assert len(got) == len(rows)
     want = brute_bytes(rows, window)
     for r in got:
