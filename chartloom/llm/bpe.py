@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chartloom.llm.common import lean
+
 #: How byte-level tokenizers part text before the merges. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker remembers, the longest that it does, characters encoded at a time.
@@ -226,6 +228,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def _mapped(docs: DataFrame, path: str, row, kinds: list) -> DataFrame:
     names = ["doc_id", *[k[0] for k in kinds]]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:

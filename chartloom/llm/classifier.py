@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import SPACES, WORD
+from chartloom.llm.common import SPACES, WORD, lean
 from chartloom.llm.rules import estimate
 
 LABELLERS = ("symbols", "capitals", "exclaims", "variety", "lines", "stutter", "endings")
@@ -110,6 +110,7 @@ def fit(docs: DataFrame, fitted: int = FITTED) -> Model:
     of the rows. Null and empty texts count as texts without words, null ids as ids.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
@@ -141,6 +142,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     equal scores. Columns beyond doc_id and text are ignored. Empty tables give no rows.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             judged, kept = _judged(batch.column(1).to_pylist(), model, threshold)
@@ -155,6 +157,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
     place = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_judged(batch.column(place).to_pylist(), model, threshold)[1], pa.bool_()))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import NULL_ID, WORD, cut, key_of, keyed_partitions, partitions
+from chartloom.llm.common import NULL_ID, WORD, cut, key_of, keyed_partitions, lean, partitions
 from chartloom.llm.graph import components
 from chartloom.llm.hashing import Texts, U, between, blocks, fitting, inside, join48, mix, pack, prefix, split48, unpack
 
@@ -129,6 +129,7 @@ def _signed(k: int, num: int, den: int, keys: list[int]):
     """
     parts = U(len(keys))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, BLOCK):
             ids = np.array([r[0] for r in rows], np.int64)
@@ -204,6 +205,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocked(k: int):
     """(a, text) to (block, blob): names, sizes and shingles of the sets of a block."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
         for rows in blocks(batches, BLOCK):
@@ -218,6 +220,7 @@ def _blocked(k: int):
 def _counted(keys: list[int]):
     """(block, blob) to (key, block, blob): the shingles of each block, with the number of its sets that hold them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(*batch.columns, strict=True):
@@ -253,6 +256,7 @@ def _placed(num: int, den: int):
     hold one of the set's shingles on average, in thousandths: the greater, the more central.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, often in zip(batch.column(1), batch.column(2), strict=True):
@@ -293,6 +297,7 @@ def _singled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(num: int, den: int):
     """(a, b, x, y) to (a, b, distance, linked)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far, linked = [], []

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chartloom.llm.common import lean
+
 #: The kinds of the base rule, in the order in which they are listed.
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds; base spans are never dropped for them.
@@ -105,6 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     names = [f"n_{k}" for k in BASE] + ["n_added", "base_sha256", "spans", "least_score"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -138,6 +141,7 @@ def redact(docs: DataFrame, column: str = "text", length: str = "n_chars") -> Da
     """The rows of ``docs`` with spans in ``column`` masked and ``length``, if there, counted anew; null stays null."""
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import NULL_ID, key_of, keyed_partitions, partitions
+from chartloom.llm.common import NULL_ID, key_of, keyed_partitions, lean, partitions
 from chartloom.llm.hashing import Texts, U, between, blocks, fitting, inside, join48, mix, pack, prefix, sliding_least, sorted_rows, split48, unpack
 
 #: Words of a window, words of an anchor's k-gram, bytes of text in an indexed block.
@@ -50,6 +50,7 @@ def _indexed(window: int, gram: int, keys: list[int], size: int):
     """Blocks of (id, text) to (key, blob): runs found inside the block, and its first windows by anchor."""
     parts, reach = len(keys), window - gram
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, size):
             ids, texts = sorted_rows(rows)
@@ -127,6 +128,7 @@ def _resolved(window: int, gram: int, keys: list[int]):
         blobs = [pack([("<i8", doc[i]), ("u1", runs[i].view("u1"))]) for p in some for i in (order[cuts[p] : cuts[p + 1]],)]
         return pa.RecordBatch.from_arrays([pa.array([keys[p] for p in some], pa.int64()), pa.array(blobs, pa.binary())], names=["key", "blob"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passed = [], []
         for batch in batches:
@@ -213,6 +215,7 @@ def factors(runs: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int,
 def _kept(window: int, as_text: bool):
     """(doc_id, text, runs) to what is left of each text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import cut, key_of, keyed_partitions, partitions
+from chartloom.llm.common import cut, key_of, keyed_partitions, lean, partitions
 from chartloom.llm.hashing import Texts, U, between, blocks, byte_numbers, fitting, inside, join48, mix, pack, prefix, sliding_least, sorted_rows, split48, unpack
 
 #: Bytes of a window, of an anchor's k-gram, of text in a block, of the shallow sort (whole symbols).
@@ -229,6 +229,7 @@ def _anchored(window: int, gram: int, keys: list[int], size: int, few: int):
     """
     parts = len(keys)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches, size):
             ids, raws = sorted_rows([r for r in rows if len(r[1]) >= window])
@@ -293,6 +294,7 @@ def _spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _met(window: int, many: int):
     """Blobs of one partition to (id, spans, places): what equal surroundings settle, and what must be compared."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [unpack(blob.as_py()) for batch in batches for blob in batch.column(1)]
         if not held:
@@ -326,6 +328,7 @@ def _cut_out(window: int, keys: list[int]):
     """(id, text, places) to (key, blob): the bytes around each place, and the hashes of its windows where the group is hot."""
     parts = len(keys)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[int, list] = {}
@@ -402,6 +405,7 @@ def _matched(held: list[list[np.ndarray]], window: int) -> Iterator[pa.RecordBat
 def _sorted(window: int, shallow: int):
     """Blobs of one partition to (id, spans, null): the open surroundings sorted and compared, windows of hot groups matched."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [unpack(blob.as_py()) for batch in batches for blob in batch.column(1)]
         yield from _matched(held, window)
@@ -459,6 +463,7 @@ def union(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 
 def _kept(as_bytes: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -9,6 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chartloom.llm.common import lean
+
 #: The white space that parts words (Unicode White_Space) and the sign put before each word. Fixed values.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARK = "▁"
@@ -117,6 +119,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
