@@ -22,9 +22,9 @@ def of(op: str, field: Typed | None, framed: bool = False) -> Column:
     c = field.col
     match op:
         case "valid":
-            return F.coalesce(F.sum(c.isNotNull().cast("long")), F.lit(0))
+            return F.count(F.when(c.isNotNull(), 1))
         case "missing":
-            return F.coalesce(F.sum(c.isNull().cast("long")), F.lit(0))
+            return F.count(F.when(c.isNull(), 1))
         case "distinct":
             return F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("long")), F.lit(0))
         case "min":

@@ -161,6 +161,34 @@ _add("source_chain_signals", {"signals": [{"name": "least", "value": 10}, {"name
 _add("data_function", {"data": [{"name": "stats", "url": "orders.parquet", "transform": [{"type": "aggregate", "ops": ["min", "max"], "fields": ["o_orderkey", "o_orderkey"], "as": ["lo", "hi"]}]}, {"name": "out", "url": "orders.parquet", "transform": _formulas(rel="(datum.o_orderkey - data('stats')[0].lo) / (data('stats')[0].hi - data('stats')[0].lo)")}]},
      "o_orderkey rel", "SELECT o_orderkey, round((o_orderkey - (SELECT min(o_orderkey) FROM orders)) / ((SELECT max(o_orderkey) FROM orders) - (SELECT min(o_orderkey) FROM orders))::double, 4) AS rel FROM orders")
 
+_add("math_trigonometry", _one("part", *_formulas(a="acos(datum.p_size / 100)", b="asin(datum.p_size / 100)", c="atan(datum.p_size)", d="ceil(datum.p_retailprice / 7)", e="cos(datum.p_size)", f="tan(datum.p_size / 100)")), "p_partkey a b c d e f",
+     "SELECT p_partkey, round(acos(p_size / 100), 4) AS a, round(asin(p_size / 100), 4) AS b, round(atan(p_size), 4) AS c, ceil(p_retailprice / 7) AS d, round(cos(p_size), 4) AS e, round(tan(p_size / 100), 4) AS f FROM part")
+_add("constants", _one("region", *_formulas(a="E + 10 * LN2 + 100 * LN10", b="LOG2E + 10 * LOG10E", c="SQRT1_2 + 10 * SQRT2", d="isNaN(NaN)", e="MAX_VALUE > 1e308 && MIN_VALUE < 1e-300")), "r_regionkey a b c d e",
+     "SELECT r_regionkey, round(exp(1) + 10 * ln(2) + 100 * ln(10), 4) AS a, round(1 / ln(2) + 10 / ln(10), 4) AS b, round(sqrt(0.5) + 10 * sqrt(2), 4) AS c, true AS d, true AS e FROM region")
+_add("conversions", _one("customer", *_formulas(a="toBoolean(datum.c_nationkey)", b="toNumber(toString(datum.c_acctbal))", c="isDate(datum.c_name)", d="datum.c_name.length", e="isDate(toDate('2020-03-01'))")), "c_custkey a b c d e",
+     "SELECT c_custkey, c_nationkey <> 0 AS a, c_acctbal AS b, false AS c, length(c_name)::double AS d, true AS e FROM customer")
+_add("utc_parts", _one("events", *_formulas(y="utcyear(datum.ts)", q="utcquarter(datum.ts)", mo="utcmonth(datum.ts)", d="utcdate(datum.ts)", wd="utcday(datum.ts)", h="utchours(datum.ts)", mi="utcminutes(datum.ts)", s="utcseconds(datum.ts)", ms="utcmilliseconds(datum.ts)", lh="hours(datum.ts)", ly="dayofyear(datum.ts)")), "event_id y q mo d wd h mi s ms lh ly",
+     """SELECT event_id, year(ts)::double AS y, quarter(ts)::double AS q, (month(ts) - 1)::double AS mo, day(ts)::double AS d, dayofweek(ts)::double AS wd, hour(ts)::double AS h, minute(ts)::double AS mi, second(ts)::double AS s, (millisecond(ts) % 1000)::double AS ms,
+     hour(ts - INTERVAL 5 HOUR)::double AS lh, dayofyear(ts - INTERVAL 5 HOUR)::double AS ly FROM events""", zone="America/New_York")
+_add("aggregate_product", _one("lineitem", {"type": "aggregate", "groupby": ["l_orderkey"], "ops": ["product", "average"], "fields": ["l_linenumber", "l_linenumber"], "as": ["p", "m"]}), "l_orderkey p m",
+     "SELECT l_orderkey, round(product(l_linenumber), 4) AS p, round(avg(l_linenumber), 4) AS m FROM lineitem GROUP BY 1")
+_add("window_values", _one("orders", *_formulas(v="datum.o_orderkey % 3 == 0 ? null : datum.o_orderkey"), {"type": "window", "groupby": ["o_custkey"], "sort": {"field": "o_orderkey"}, "ops": ["ntile", "nth_value", "prev_value", "next_value"], "fields": [None, "o_orderkey", "v", "v"], "params": [3, 2, None, None], "as": ["a", "b", "c", "d"]}), "o_orderkey a b c d",
+     """WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS v FROM orders)
+     SELECT o_orderkey, (ntile(3) OVER w)::int AS a, nth_value(o_orderkey, 2) OVER w AS b, (last_value(v IGNORE NULLS) OVER w)::double AS c, (first_value(v IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::double AS d FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+_SPREAD = ["average", "variancep", "stdevp", "q1", "q3", "median", "valid", "missing", "product"]
+_add("window_spread", _one("orders", *_formulas(n="datum.o_orderkey % 7 + 1", v="datum.o_orderkey * 37 % 1000"), {"type": "window", "groupby": ["o_orderpriority"], "sort": {"field": "o_orderkey"}, "ignorePeers": True, "frame": [-4, 0], "ops": _SPREAD, "fields": ["v"] * (len(_SPREAD) - 1) + ["n"], "as": _SPREAD}), "o_orderkey " + " ".join(_SPREAD),
+     """SELECT o_orderkey, round(avg(v) OVER w, 4) AS average, round(var_pop(v) OVER w, 4) AS variancep, round(stddev_pop(v) OVER w, 4) AS stdevp, round(quantile_cont(v, 0.25) OVER w, 4) AS q1, round(quantile_cont(v, 0.75) OVER w, 4) AS q3,
+     round(median(v) OVER w, 4) AS median, count(v) OVER w AS valid, 0::bigint AS missing, round(product(o_orderkey % 7 + 1) OVER w, 4) AS product FROM (SELECT *, o_orderkey * 37 % 1000 AS v FROM orders) WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+_add("names_by_case", _one("orders", *_formulas(k="datum.o_orderstatus == 'F' ? 'a' : 'A'"), {"type": "pivot", "field": "k", "value": "o_totalprice", "groupby": ["o_orderpriority"], "op": "count"}, *_formulas(total="datum.a + datum.A")), "o_orderpriority total",
+     "SELECT o_orderpriority, count(*)::double AS total FROM orders GROUP BY 1")
+_add("signal_time_offset", {"signals": [{"name": "from", "update": "timeOffset('month', utc(1997, 0, 31), 1)"}], "data": [{"name": "out", "url": "orders.parquet", "transform": [{"type": "filter", "expr": "datum.o_orderdate >= from"}]}]}, "o_orderkey", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-02-28'")
+_add("signal_of_a_cut_dataset", {"data": [{"name": "a", "url": "orders.parquet", "transform": [{"type": "extent", "field": "o_orderkey", "signal": "ext"}, {"type": "sample", "size": 5}]}, {"name": "out", "url": "orders.parquet", "transform": _formulas(rest="ext[1] - datum.o_orderkey")}]}, "o_orderkey rest",
+     "SELECT o_orderkey, ((SELECT max(o_orderkey) FROM orders) - o_orderkey)::double AS rest FROM orders")
+_add("inline_dates", {"data": [{"name": "out", "values": [{"k": 1, "d": "2020-01-05", "u": "2020-01-05", "f": "05/2020/01", "y": "1999"}, {"k": 2, "d": None, "u": "no date", "f": "17/2021/12", "y": "2001"}], "format": {"type": "json", "parse": {"d": "date", "u": "utc", "f": "utc:'%d/%Y/%m'", "y": "date:'%Y'"}}, "transform": _formulas(a="time(datum.d)", b="time(datum.u)", c="time(datum.f)", e="year(datum.y)")}]}, "k a b c e",
+     f"SELECT * FROM (VALUES (1::bigint, {_MS.format("TIMESTAMP '2020-01-05'")}, {_MS.format("TIMESTAMP '2020-01-05'")}, {_MS.format("TIMESTAMP '2020-01-05'")}, 1999::double), (2, NULL, NULL, {_MS.format("TIMESTAMP '2021-12-17'")}, 2001)) t(k, a, b, c, e)")
+_add("inline_late_types", {"data": [{"name": "out", "values": [{"k": i, "v": i} for i in range(1500)] + [{"k": 1500, "v": 0.5}], "transform": _formulas(w="datum.v * 2")}]}, "k v w",
+     "SELECT i AS k, i::double AS v, (i * 2)::double AS w FROM range(1500) t(i) UNION ALL SELECT 1500, 0.5, 1")
+
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A discrete scale's domain as the planner splits it off."""
