@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chartloom.llm.common import lean
+from chartloom.llm.common import HELD, lean
 
 #: How byte-level tokenizers part text before the merges. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -208,6 +209,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+HELD["codec"] = codec.cache_clear
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded for each row.
 
@@ -228,7 +232,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def _mapped(docs: DataFrame, path: str, row, kinds: list) -> DataFrame:
     names = ["doc_id", *[k[0] for k in kinds]]
 
-    @lean
+    @functools.partial(lean, holds="codec")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:

@@ -171,6 +171,7 @@ def _signed(k: int, num: int, den: int, keys: list[int]):
     return run
 
 
+@lean
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blobs of one partition to documents (0), sets of a block (1), and how many of a set's first shingles are shared (2)."""
     held: list[list[np.ndarray]] = []
@@ -231,6 +232,7 @@ def _counted(keys: list[int]):
     return run
 
 
+@lean
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one partition to (block, blob): the shingles of each block that two sets or more hold, with their number."""
     held = [(block.as_py(), *unpack(blob.as_py())) for batch in batches for block, blob in zip(batch.column(1), batch.column(2), strict=True)]
@@ -284,6 +286,7 @@ def _placed(num: int, den: int):
     return run
 
 
+@lean
 def _singled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, blob) to (key, shingles) of each set."""
     for batch in batches:

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 
 from chartloom.llm import bpe, classifier, mixing, pii, rules, unigram
+from chartloom.llm.common import lean
+from chartloom.llm.hashing import _powers, powers
 from chartloom.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,6 +115,16 @@ def test_bpe_as_the_library(docs, rows, known, nothing):
         assert (r.doc_id, r.decoded_sha256) in {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts}
 
 
+def test_tasks_of_another_kind_drop_the_tokenizer():
+    path = tokenizer("byte_bpe_50k.json")
+    held = lambda: bpe.codec.cache_info().currsize + _powers.cache_info().currsize
+    bpe.codec(path), powers(10)
+    assert list(lean(lambda batches: (held() for _ in batches))([1])) == [0]
+    assert list(lean(lambda batches: (len(powers(10)) for _ in batches))([1])) == [2] and held() == 0
+    bpe.codec(path), powers(10)
+    assert list(lean(lambda batches: (held() for _ in batches), holds="codec")([1])) == [1] and held() == 1
+
+
 def test_bpe_of_odd_texts(known):
     codec = bpe.Codec(tokenizer("byte_bpe_50k.json"))
     r = random.Random(2)
